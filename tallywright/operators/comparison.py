@@ -112,13 +112,16 @@ def fits_memory(
     down = Window.partitionBy(F.lit(1)).orderBy(F.col("_gb").desc()).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    ladder = classes.select(
-        F.explode(
-            F.sequence(F.coalesce(F.lag("_gb").over(up), F.lit(-1).cast("bigint")) + 1, F.col("_gb"))
-        ).alias("_need"),
-        F.col("_gb").alias("smallest_fit_gb"),
+    stepped = classes.select(
+        "_gb",
+        F.coalesce(F.lag("_gb").over(up) + 1, F.lit(0)).cast("bigint").alias("_from"),
         F.sum("_hosts").over(down).alias("n_hosts"),
     )
+    ladder = stepped.select(
+        F.explode(F.sequence("_from", "_gb")).alias("_need"),
+        F.col("_gb").alias("smallest_fit_gb"),
+        "n_hosts",
+    )
     asked = models.withColumn("_need", F.greatest(F.ceil(need_gb), F.lit(0)).cast("bigint"))
     return join_on(asked, ladder, ["_need"], "left").drop("_need").withColumn(
         "n_hosts", F.coalesce(F.col("n_hosts"), F.lit(0)).cast("bigint")

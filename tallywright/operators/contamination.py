@@ -21,20 +21,25 @@ SALTS = 16
 
 
 def ngram_rows(df: DataFrame, id_col: str, text: str, n: int = NGRAM) -> DataFrame:
-    """One row per distinct lower-cased word n-gram of each whole text."""
+    """One row per lower-cased word n-gram position of each whole text.
+
+    Each n-gram is put together from n element reads, so the cost is linear in
+    the text; ``slice`` would copy the whole word array for every position.
+    """
     words = F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
-    worded = df.select(id_col, words.alias("_w")).where(F.size("_w") >= n)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1)))
-    grams = F.array_distinct(
-        F.transform(starts, lambda i: F.array_join(F.slice("_w", i, n), " "))
+    worded = df.select(id_col, words.alias("_w"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0)))
+    grams = F.transform(
+        starts, lambda i: F.concat_ws(" ", *[F.get("_w", i + k) for k in range(n)])
     )
-    return worded.select(id_col, F.explode(grams).alias("gram"))
+    # A text shorter than n words has no n-gram: null explodes to no rows.
+    return worded.select(id_col, F.explode(F.when(F.size("_w") >= n, grams)).alias("gram"))
 
 
 def corpus_hits(
     corpus: DataFrame, items: DataFrame, corpus_id: str, item_id: str, n: int = NGRAM
 ) -> DataFrame:
-    """Corpus n-grams (document, gram) that some evaluation item also has.
+    """Distinct corpus n-grams (document, gram) that some evaluation item also has.
 
     The join key carries a salt taken from the document, with the evaluation
     side repeated once per salt, so the rows of a hot n-gram spread over many
@@ -48,7 +53,9 @@ def corpus_hits(
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     rows = ngram_rows(corpus, corpus_id, "text", n).withColumn("_salt", salt)
-    return join_on(rows, wanted, ["gram", "_salt"], "left_semi").drop("_salt")
+    return join_on(rows, wanted, ["gram", "_salt"], "left_semi").select(
+        corpus_id, "gram"
+    ).distinct()
 
 
 def item_contamination(
@@ -61,7 +68,7 @@ def item_contamination(
     """
     found = corpus_hits(corpus, items, corpus_id, item_id, n).select("gram").distinct()
     marked = join_on(
-        ngram_rows(items, item_id, "text", n), found.withColumn("_hit", F.lit(1)), ["gram"], "left"
+        ngram_rows(items, item_id, "text", n).distinct(), found.withColumn("_hit", F.lit(1)), ["gram"], "left"
     )
     per_item = marked.groupBy(item_id).agg(
         F.count(F.lit(1)).alias("n_grams"), F.count("_hit").alias("n_found")

@@ -71,7 +71,8 @@ def peak_concurrency(spark, sf_dir):
 @register("overlap_contamination", views("req", runs="SELECT * FROM req WHERE outcome = 'purchase'",
     loads="SELECT * FROM req WHERE outcome <> 'purchase'") + """
 SELECT r.system, r.event_id, count(l.event_id) AS n_overlaps,
-  round(coalesce(sum(least(r.end_us, l.end_us) - greatest(r.start_us, l.start_us)), 0) / 1000000, 3) AS overlap_s
+  round(coalesce(sum(least(r.end_us, l.end_us) - greatest(r.start_us, l.start_us))
+    FILTER (WHERE l.event_id IS NOT NULL), 0) / 1000000, 3) AS overlap_s
 FROM runs r LEFT JOIN loads l ON l.system = r.system AND l.start_us < r.end_us AND l.end_us > r.start_us
 GROUP BY r.system, r.event_id""")
 def overlap_contamination(spark, sf_dir):
