@@ -123,7 +123,8 @@ def fits_memory(
         "n_hosts",
     )
     asked = models.withColumn("_need", F.greatest(F.ceil(need_gb), F.lit(0)).cast("bigint"))
-    return join_on(asked, ladder, ["_need"], "left").drop("_need").withColumn(
+    # At most MAX_HOST_GB + 1 rows of three numbers, so broadcasting it is safe.
+    return join_on(asked, F.broadcast(ladder), ["_need"], "left").drop("_need").withColumn(
         "n_hosts", F.coalesce(F.col("n_hosts"), F.lit(0)).cast("bigint")
     ).withColumn("fits", F.col("n_hosts") > 0)
 
@@ -135,20 +136,21 @@ def comparability_check(
 
     ``config`` is a map; a key only one side has counts as a difference.
     """
-    pairs = configs.select(system, F.explode(config).alias("key", "value"))
-    ref = pairs.where(F.col(system) == reference).select("key", F.col("value").alias("reference"))
-    others = configs.where(F.col(system) != reference).select(system).distinct()
-    # Each system meets the reference's few keys once: own keys plus missing ones.
-    own = pairs.where(F.col(system) != reference)
-    ref_keys = configs.where(F.col(system) == reference).select(
-        F.map_keys(config).alias("_keys"), F.lit(1).alias("_one")
+    # One run's settings, read as a scalar: more than one reference row is an error.
+    ref = configs.where(F.col(system) == reference).select(config).scalar()
+    both = configs.where(F.col(system) != reference).select(
+        system, F.col(config).alias("_own"), ref.alias("_ref")
     )
-    expected = join_on(others.withColumn("_one", F.lit(1)), ref_keys, ["_one"], "inner").select(
-        system, F.explode("_keys").alias("key")
+    keys = both.select(
+        system, "_own", "_ref",
+        F.explode(F.array_union(F.map_keys("_own"), F.map_keys("_ref"))).alias("key"),
     )
-    every = own.select(system, "key").unionByName(expected).distinct()
-    filled = join_on(join_on(every, own, [system, "key"], "left"), ref, ["key"], "left")
-    return filled.where(~F.col("value").eqNullSafe(F.col("reference")))
+    return keys.select(
+        system,
+        "key",
+        F.try_element_at("_own", F.col("key")).alias("value"),
+        F.try_element_at("_ref", F.col("key")).alias("reference"),
+    ).where(~F.col("value").eqNullSafe(F.col("reference")))
 
 
 def comparable_systems(
@@ -170,18 +172,13 @@ def config_diff(
     configs: DataFrame, run: str = "run", config: str = "config"
 ) -> DataFrame:
     """Settings that differ between runs: distinct values and runs without the key."""
-    runs = configs.agg(F.countDistinct(run).alias("n_runs"))
+    n_runs = configs.agg(F.countDistinct(run)).scalar()
     values = configs.select(run, F.explode(config).alias("key", "value"))
     per_key = values.groupBy("key").agg(
         F.countDistinct("value").alias("n_values"), F.countDistinct(run).alias("n_with_key")
     )
-    counted = join_on(
-        per_key.withColumn("_one", F.lit(1)), runs.withColumn("_one", F.lit(1)), ["_one"], "inner"
-    )
-    return counted.select(
-        "key",
-        "n_values",
-        (F.col("n_runs") - F.col("n_with_key")).alias("n_without_key"),
+    return per_key.select(
+        "key", "n_values", (n_runs - F.col("n_with_key")).alias("n_without_key")
     ).where((F.col("n_values") > 1) | (F.col("n_without_key") > 0))
 
 

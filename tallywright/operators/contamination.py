@@ -8,32 +8,70 @@ semi-join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.operators.keys import join_on
+from tallywright.workspace import settle, spread
 
 # Fixed value: words per n-gram.
 NGRAM = 13
-WORD_BREAK = r"[ \t\r\n]+"
 # A hot n-gram's corpus rows spread over this many join keys.
 SALTS = 16
 
 
+def _words(text: str) -> Column:
+    """Lower-cased words of a whole text."""
+    spaced = F.translate(F.lower(text), "\t\r\n", "   ")
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def _windows(words: str, n: int, combine: Callable[..., Column]) -> Column:
+    """``combine`` applied to every n neighbouring elements of an array.
+
+    Each result is put together from n element reads, so the cost is linear in
+    the text; ``slice`` would copy the whole array for every position. A text
+    shorter than n words gives null, which explodes to no rows.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0)))
+    return F.when(
+        F.size(words) >= n,
+        F.transform(starts, lambda i: combine(*[F.get(words, i + k) for k in range(n)])),
+    )
+
+
 def ngram_rows(df: DataFrame, id_col: str, text: str, n: int = NGRAM) -> DataFrame:
-    """One row per lower-cased word n-gram position of each whole text.
+    """One row per word n-gram position of each whole text."""
+    worded = df.select(id_col, _words(text).alias("_w"))
+    return worded.select(
+        id_col, F.explode(_windows("_w", n, lambda *w: F.concat_ws(" ", *w))).alias("gram")
+    )
+
+
+def _hash_rows(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """One row per n-gram position, as a 64-bit hash of the words' hashes."""
+    hashed = df.select(
+        id_col, F.transform(_words(text), lambda w: F.xxhash64(w)).alias("_w")
+    )
+    return hashed.select(id_col, F.explode(_windows("_w", n, F.xxhash64)).alias("gram"))
 
-    Each n-gram is put together from n element reads, so the cost is linear in
-    the text; ``slice`` would copy the whole word array for every position.
+
+def _semi_join(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose gram is wanted, with hot grams spread by a salt.
+
+    The salt comes from the document and the wanted side is repeated once per
+    salt, so the rows of one gram have many join partitions whenever the wanted
+    side is too large to be broadcast.
     """
-    words = F.filter(F.split(F.lower(text), WORD_BREAK), lambda w: w != "")
-    worded = df.select(id_col, words.alias("_w"))
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0)))
-    grams = F.transform(
-        starts, lambda i: F.concat_ws(" ", *[F.get("_w", i + k) for k in range(n)])
+    salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
+    salted = wanted.distinct().withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    return join_on(rows.withColumn("_salt", salt), salted, ["gram", "_salt"], "left_semi").drop(
+        "_salt"
     )
-    # A text shorter than n words has no n-gram: null explodes to no rows.
-    return worded.select(id_col, F.explode(F.when(F.size("_w") >= n, grams)).alias("gram"))
 
 
 def corpus_hits(
@@ -41,21 +79,21 @@ def corpus_hits(
 ) -> DataFrame:
     """Distinct corpus n-grams (document, gram) that some evaluation item also has.
 
-    The join key carries a salt taken from the document, with the evaluation
-    side repeated once per salt, so the rows of a hot n-gram spread over many
-    partitions whenever the evaluation side is too large to be broadcast.
+    A first pass compares hashes and keeps the documents that may have a hit;
+    equal n-grams have equal hashes, so none is lost. The second pass compares
+    the n-grams themselves, for those documents only.
     """
-    salt = F.pmod(F.xxhash64(corpus_id), F.lit(SALTS)).cast("int")
-    wanted = (
-        ngram_rows(items, item_id, "text", n)
-        .select("gram")
-        .distinct()
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = spread(corpus.select(corpus_id, "text"))
+    wanted_hashes = _hash_rows(items, item_id, "text", n).select("gram")
+    maybe = settle(
+        _semi_join(_hash_rows(texts, corpus_id, "text", n), wanted_hashes, corpus_id)
+        .select(corpus_id)
+        .distinct(),
+        "candidate-documents",
     )
-    rows = ngram_rows(corpus, corpus_id, "text", n).withColumn("_salt", salt)
-    return join_on(rows, wanted, ["gram", "_salt"], "left_semi").select(
-        corpus_id, "gram"
-    ).distinct()
+    documents = join_on(texts, maybe, [corpus_id], "left_semi")
+    wanted = ngram_rows(items, item_id, "text", n).select("gram")
+    return _semi_join(ngram_rows(documents, corpus_id, "text", n), wanted, corpus_id).distinct()
 
 
 def item_contamination(

@@ -3,7 +3,10 @@
 Spark's ``percentile`` gathers a group's distinct values in one task. Here two
 passes replace that gathering: the first counts rows per narrow value bucket
 and finds the buckets that hold the wanted ranks; the second orders only those
-buckets, after equal values have been merged into counts.
+buckets, after equal values have been merged into counts. The table of wanted
+buckets is written out in between: it is small unless there are very many
+groups, so the second pass filters the scan with a broadcast join and shuffles
+only the rows of those buckets.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.operators.keys import join_on
+from tallywright.workspace import settle
 
 # Buckets per e-fold of magnitude: each spans about 0.006% of its value.
 RESOLUTION = 16384
@@ -64,13 +68,14 @@ def exact_quantiles(
     wanted = F.array_distinct(
         F.array(*[r for p in probs.values() for r in _ranks(p, n, rule)])
     )
-    targets = histogram.select(
+    buckets = histogram.select(
         *keys,
         "_b",
         "n",
         "_lo",
         F.filter(wanted, lambda r: (r >= F.col("_lo")) & (r < F.col("_hi"))).alias("_ranks"),
     ).where(F.size("_ranks") > 0)
+    targets = settle(buckets, "quantile-buckets")
 
     merged = (
         join_on(base, targets, [*keys, "_b"], "inner")

@@ -55,15 +55,15 @@ def top_k(df: DataFrame, value: str, k: int, tie: Sequence[str]) -> DataFrame:
 
 def probe(df: DataFrame, id_col: str, seconds: str, n: int) -> DataFrame:
     """Mean cost of the first n items and the time the whole table would take."""
-    first = df.select(id_col, seconds).orderBy(id_col).limit(n).agg(
-        F.count(F.lit(1)).alias("probed"), F.avg(seconds).alias("mean_seconds")
-    )
-    whole = df.agg(F.count(F.lit(1)).alias("items"))
-    return join_on(
-        first.withColumn("_one", F.lit(1)), whole.withColumn("_one", F.lit(1)), ["_one"], "inner"
-    ).select(
-        "probed",
-        "items",
-        "mean_seconds",
-        (F.col("mean_seconds") * F.col("items") / 3600).alias("projected_hours"),
+    items = df.agg(F.count(F.lit(1))).scalar()
+    return (
+        df.select(id_col, seconds)
+        .orderBy(id_col)
+        .limit(n)
+        .agg(
+            F.count(F.lit(1)).alias("probed"),
+            F.max(items).alias("items"),
+            F.avg(seconds).alias("mean_seconds"),
+        )
+        .withColumn("projected_hours", F.col("mean_seconds") * F.col("items") / 3600)
     )

@@ -16,7 +16,7 @@ TIME = "yyyy-MM-dd HH:mm:ss"
 
 def _events(spark, sf_dir):
     """The events table as a stream of metric samples."""
-    raw = read_stream(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)
+    raw = read_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
     return raw.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -64,16 +64,15 @@ def instant_vs_sustained(spark, sf_dir):
 
 
 @register("idle_gate", """
-WITH s AS (SELECT event_type, CAST(user_id % 10 AS BIGINT) AS grp, ts, date_trunc('hour', ts) AS h FROM events),
+WITH s AS (SELECT event_type, user_id AS host, ts, date_trunc('hour', ts) AS h FROM events),
 w AS (SELECT *, h AS w FROM s UNION ALL SELECT *, h - INTERVAL 1 HOUR FROM s)
-SELECT grp, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS samples,
+SELECT host, strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS samples,
   max(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END) = 0 AS idle
-FROM w GROUP BY grp, w""")
+FROM w GROUP BY host, w""")
 def idle_gate(spark, sf_dir):
-    samples = _events(spark, sf_dir).withColumn("grp", F.col("host") % 10)
     busy = F.when(F.col("kind").isin("purchase", "error"), 1).otherwise(0)
-    gate = metrics.idle_gate(samples, ["grp"], busy)
-    out = latest_rows(spark, drain(gate, "update"), ["grp", "window_start"])
+    gate = metrics.idle_gate(_events(spark, sf_dir), ["host"], busy)
+    out = latest_rows(spark, drain(gate, "update"), ["host", "window_start"])
     return out.withColumn("window_start", _at("window_start"))
 
 
@@ -142,7 +141,7 @@ def ingest_results_stream(spark, sf_dir):
 @register("late_segments", views("verd") +
           "SELECT system, instance, status, repo, n_attempts FROM verd")
 def late_segments(spark, sf_dir):
-    orders = read_stream(spark, sf_dir, "orders.parquet", table(spark, sf_dir, "orders").schema)
+    orders = read_stream(spark, f"{sf_dir}/orders.parquet", table(spark, sf_dir, "orders").schema)
     customers = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("instance"), F.col("c_mktsegment").alias("repo")
     )

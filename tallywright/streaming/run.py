@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from tallywright.workspace import shared_dir
 
 
-def read_stream(spark: SparkSession, folder: str, name_filter: str, schema) -> DataFrame:
-    """Parquet files of a folder as a stream; one file per micro-batch."""
+def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A Parquet table, kept as one file or as a folder, as a stream."""
+    # Written as a pattern, since the file source takes a single file only so.
     return (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", name_filter)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(folder)
+        .option("maxFilesPerTrigger", 64)
+        .parquet(f"{path[:-1]}[{path[-1]}]")
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local_roots: dict[str, str] = {}
 
@@ -26,3 +26,26 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             context.applicationId, tempfile.mkdtemp(prefix="run-", dir="/tmp")
         )
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    This cuts the lineage in a way that outlives executors, and it gives the
+    planner the table's real size: a small result is broadcast to the side it
+    is joined with, which then need not be shuffled, while a large one is
+    merged as usual.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """Give every core a share of a table that arrives in fewer splits than that.
+
+    For stages that compute much per byte read. A table with enough splits is
+    returned as it is, so at scale no shuffle is added.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
