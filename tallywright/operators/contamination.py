@@ -69,9 +69,8 @@ def _semi_join(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
     salted = wanted.distinct().withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    return join_on(rows.withColumn("_salt", salt), salted, ["gram", "_salt"], "left_semi").drop(
-        "_salt"
-    )
+    rows = rows.withColumn("_salt", salt)
+    return join_on(rows, salted, ["gram", "_salt"], "left_semi", null_safe=False).drop("_salt")
 
 
 def corpus_hits(
@@ -91,7 +90,7 @@ def corpus_hits(
         .distinct(),
         "candidate-documents",
     )
-    documents = join_on(texts, maybe, [corpus_id], "left_semi")
+    documents = join_on(texts, maybe, [corpus_id], "left_semi", null_safe=False)
     wanted = ngram_rows(items, item_id, "text", n).select("gram")
     return _semi_join(ngram_rows(documents, corpus_id, "text", n), wanted, corpus_id).distinct()
 
@@ -106,7 +105,8 @@ def item_contamination(
     """
     found = corpus_hits(corpus, items, corpus_id, item_id, n).select("gram").distinct()
     marked = join_on(
-        ngram_rows(items, item_id, "text", n).distinct(), found.withColumn("_hit", F.lit(1)), ["gram"], "left"
+        ngram_rows(items, item_id, "text", n).distinct(), found.withColumn("_hit", F.lit(1)), ["gram"], "left",
+        null_safe=False,
     )
     per_item = marked.groupBy(item_id).agg(
         F.count(F.lit(1)).alias("n_grams"), F.count("_hit").alias("n_found")

@@ -77,15 +77,11 @@ def exact_quantiles(
     ).where(F.size("_ranks") > 0)
     targets = settle(buckets, "quantile-buckets")
 
+    # A bucket's ranks go along as grouping columns; they are equal in all its rows.
     merged = (
         join_on(base, targets, [*keys, "_b"], "inner")
-        .groupBy(*keys, "_b", "_v")
-        .agg(
-            F.count(F.lit(1)).alias("_c"),
-            F.max("n").alias("n"),
-            F.max("_lo").alias("_lo"),
-            F.max("_ranks").alias("_ranks"),
-        )
+        .groupBy(*keys, "_b", "_v", "n", "_lo", "_ranks")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
     inside = (
         Window.partitionBy(*keys, "_b")

@@ -1,10 +1,11 @@
 """Running values over long ordered groups.
 
 A plain window over ``PARTITION BY key`` puts a whole key into one task. Here
-each key is cut along its order into chunks: rows run inside ``(key, chunk)``
-and a much smaller table of chunk totals supplies what came before. The result
-equals the plain window's, and a key that holds a third of all rows is spread
-over as many tasks as it has chunks.
+each key is cut along its order into chunks. A small table of chunk totals says
+what came before each chunk; its rows are put in front of their chunks as
+opening rows, and one window per ``(key, chunk)`` then yields the same values
+as the plain window would. A key that holds a third of all rows is spread over
+as many tasks as it has chunks, and the rows are shuffled once.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallywright.operators.keys import join_on
-
 CHUNK = "_chunk"
+IS_ROW = "_is_row"
 
 
 def running(
@@ -33,20 +33,10 @@ def running(
     line numbers); ``order`` must be unique within ``keys``.
     """
     sums, carries = dict(sums or {}), dict(carries or {})
+    names = [*sums, *carries]
     rows = df.withColumn(CHUNK, chunk)
     position = F.struct(*[F.col(c) for c in order])
 
-    inside = (
-        Window.partitionBy(*keys, CHUNK)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    local = rows.select(
-        *rows.columns,
-        *[F.sum(e).over(inside).alias(f"_in_{n}") for n, e in sums.items()],
-        *[F.last(e, ignorenulls=True).over(inside).alias(f"_in_{n}") for n, e in carries.items()],
-    )
-
     totals = rows.groupBy(*keys, CHUNK).agg(
         *[F.sum(e).alias(n) for n, e in sums.items()],
         *[F.max_by(e, F.when(e.isNotNull(), position)).alias(n) for n, e in carries.items()],
@@ -54,23 +44,31 @@ def running(
     before = (
         Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = totals.select(
+    openings = totals.select(
         *keys,
         CHUNK,
-        *[F.sum(n).over(before).alias(f"_pre_{n}") for n in sums],
-        *[F.last(n, ignorenulls=True).over(before).alias(f"_pre_{n}") for n in carries],
+        F.lit(0).alias(IS_ROW),
+        *[F.sum(n).over(before).alias(f"_v_{n}") for n in sums],
+        *[F.last(n, ignorenulls=True).over(before).alias(f"_v_{n}") for n in carries],
     )
-
-    joined = join_on(local, offsets, [*keys, CHUNK], "inner")
-    return joined.select(
-        *[c for c in df.columns],
-        *[
-            (F.coalesce(F.col(f"_in_{n}"), F.lit(0)) + F.coalesce(F.col(f"_pre_{n}"), F.lit(0)))
-            .alias(n)
-            for n in sums
-        ],
-        *[F.coalesce(F.col(f"_in_{n}"), F.col(f"_pre_{n}")).alias(n) for n in carries],
+    values = rows.select(
+        *df.columns,
+        CHUNK,
+        F.lit(1).alias(IS_ROW),
+        *[e.alias(f"_v_{n}") for n, e in {**sums, **carries}.items()],
+    )
+    inside = (
+        Window.partitionBy(*keys, CHUNK)
+        .orderBy(IS_ROW, *order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    stacked = values.unionByName(openings, allowMissingColumns=True)
+    return stacked.select(
+        *df.columns,
+        IS_ROW,
+        *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(n) for n in sums],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(n) for n in carries],
+    ).where(F.col(IS_ROW) == 1).select(*df.columns, *names)
 
 
 def time_chunk(ts: str, seconds: int = 86400) -> Column:

@@ -71,12 +71,13 @@ def merge_reruns(
 def rerun_worklist(items: DataFrame, responses: DataFrame, keys: Sequence[str],
                    denied: Column) -> DataFrame:
     """Items whose response was cut off or denied a verdict."""
-    return join_on(items, responses.where(denied).select(*keys), keys, "left_semi")
+    return join_on(items, responses.where(denied).select(*keys), keys, "left_semi",
+                   null_safe=False)
 
 
 def resume_worklist(items: DataFrame, completed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Items with no completed attempt yet."""
-    return join_on(items, completed.select(*keys), keys, "left_anti")
+    return join_on(items, completed.select(*keys), keys, "left_anti", null_safe=False)
 
 
 def resolve_by_repo(
@@ -152,7 +153,7 @@ def head_to_head(
     ref = verdicts.where(F.col(system) == reference).select(instance, ok.alias("_ref"))
     others = verdicts.where(F.col(system) != reference).select(system, instance, ok.alias("_own"))
     own, base = F.col("_own"), F.col("_ref")
-    return join_on(others, ref, [instance], "inner").groupBy(system).agg(
+    return join_on(others, ref, [instance], "inner", null_safe=False).groupBy(system).agg(
         F.count(F.lit(1)).alias("shared"),
         F.count_if(own & base).alias("both"),
         F.count_if(own & ~base).alias("system_only"),
