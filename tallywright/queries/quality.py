@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywright.functions import answers, parsing
-from tallywright.operators import comparison, scoring, trust
-from tallywright.queries.bindings import LANGS, MCQ, resp, score_table, scored, table, views
+from tallywright.operators import comparison, scoring, trust, verdicts
+from tallywright.plans import quality as quality_plan
+from tallywright.queries.bindings import LANGS, MCQ, resp, score_table, scored, table, verd, views
 from tallywright.queries.registry import register, rounded
 
 _LAST = "list_extract(regexp_extract_all({text}, '{pattern}', {group}), -1)"
@@ -37,7 +38,7 @@ SELECT system, """ + ", ".join(
     f"round(max(score) FILTER (WHERE task = '{t}'), 6) AS {t}" for t in LANGS
 ) + " FROM scores GROUP BY system")
 def leaderboard(spark, sf_dir):
-    board = scoring.leaderboard(score_table(spark, sf_dir), LANGS)
+    board = quality_plan.quality_leaderboard(resp(spark, sf_dir), LANGS)
     return rounded(board, **{t: 6 for t in LANGS})
 
 
@@ -66,8 +67,6 @@ SELECT system, n, round(score, 6) AS score, round(sqrt(score * (1 - score) / n),
   round(least(1, score + sqrt(score * (1 - score) / n)), 6) AS high
 FROM s""")
 def sample_margin(spark, sf_dir):
-    from tallywright.queries.bindings import verd
-
     scores = scoring.score_summary(verd(spark, sf_dir), ["system"], "resolved")
     out = scoring.sample_margins(scores.select("system", "n", "score"))
     return rounded(out, score=6, margin=6, low=6, high=6)
@@ -409,8 +408,6 @@ def missing_matrix(spark, sf_dir):
 SELECT doc_id, quality FROM labels
 WHERE doc_id IN (SELECT doc_id FROM resp WHERE finish_reason = 'length')""")
 def rerun_worklist(spark, sf_dir):
-    from tallywright.operators import verdicts
-
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return verdicts.rerun_worklist(
         labels, resp(spark, sf_dir), ["doc_id"], F.col("finish_reason") == "length"

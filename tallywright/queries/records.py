@@ -13,7 +13,7 @@ from tallywright import schemas
 from tallywright.operators import scoring, trust
 from tallywright.queries.agentic import _INSTANCES, _instances
 from tallywright.queries.bindings import (
-    LANGS, cand, lvl, resp, score_table, scored, verd_attempts, views,
+    LANGS, cand, lvl, score_table, scored, verd_attempts, views,
 )
 from tallywright.queries.registry import register, rounded
 from tallywright.sources import agentic, reports, results, sweeps

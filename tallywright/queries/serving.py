@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallywright.functions.statistics import share  # noqa: F401
-from tallywright.operators import comparison, contamination, sampling, throughput, trust  # noqa: F401
-from tallywright.queries.bindings import cand, lvl, req, resp, table, views  # noqa: F401
+from tallywright.operators import comparison, contamination, sampling, throughput
+from tallywright.queries.bindings import lvl, req, table, views
 from tallywright.queries.registry import register, rounded
 
 _W = "WINDOW w AS (PARTITION BY system ORDER BY concurrency)"

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallywright.functions import parsing
-from tallywright.queries.bindings import table, views  # noqa: F401
-from tallywright.queries.registry import register, rounded  # noqa: F401
+from tallywright.queries.bindings import table
+from tallywright.queries.registry import register
 
 
 @register("parse_model_args", """
