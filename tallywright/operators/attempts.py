@@ -58,9 +58,5 @@ def work_before_abort(
         F.count_if(F.col("_aborts") == 0).alias("steps"), F.max("_aborts").alias("_aborts")
     ).where(F.col("_aborts") > 0).select("steps", F.lit(1).alias("_all"))
     median = exact_quantiles(per_instance, ["_all"], "steps", {"median_steps": 0.5})
-    counts = per_instance.groupBy("_all").agg(
-        F.count_if(F.col("steps") >= at_least).alias("working")
-    )
-    return median.join(counts, "_all").select(
-        F.col("n").alias("aborted"), "median_steps", "working"
-    )
+    working = per_instance.agg(F.count_if(F.col("steps") >= at_least)).scalar()
+    return median.select(F.col("n").alias("aborted"), "median_steps", working.alias("working"))

@@ -30,7 +30,8 @@ def running(
     """Add running sums and last-non-null values in ``order`` within ``keys``.
 
     ``chunk`` must never decrease along ``order`` (a time bucket, a block of
-    line numbers); ``order`` must be unique within ``keys``.
+    line numbers). Rows that tie in ``order`` follow each other in no fixed
+    order, so it should be unique within ``keys`` unless that does not matter.
     """
     sums, carries = dict(sums or {}), dict(carries or {})
     names = [*sums, *carries]

@@ -94,8 +94,8 @@ def peak_concurrency(
 ) -> DataFrame:
     """Most requests in flight at once; an interval includes its start only.
 
-    Starts and ends at the same instant are netted before the running sum, and
-    the sum runs over time chunks so that a busy system spreads over many tasks.
+    The sum of starts and ends runs over time chunks, so that a busy system
+    spreads over many tasks.
     """
     width = chunk_seconds * 1_000_000
     edges = requests.select(
@@ -107,9 +107,9 @@ def peak_concurrency(
             )
         ).alias("_e"),
     ).select(*keys, F.col("_e.t").alias("_t"), F.col("_e.d").alias("_d"))
-    netted = edges.groupBy(*keys, "_t").agg(F.sum("_d").alias("_d"))
+    # Ends sort before starts at the same instant, so the sum never counts both.
     level = running(
-        netted, keys, ["_t"], F.floor(F.col("_t") / width), sums={"_level": F.col("_d")}
+        edges, keys, ["_t", "_d"], F.floor(F.col("_t") / width), sums={"_level": F.col("_d")}
     )
     return level.groupBy(*keys).agg(F.max("_level").alias("peak_concurrency"))
 
@@ -158,14 +158,12 @@ def overlap_contamination(
         F.explode(F.array(edge(2, s), edge(0, e))).alias("e"),
     )
     edges = load_edges.unionByName(run_edges).select("_host", "_run", "e.*")
-    # Edges that tie are merged or independent, so any order among them is right.
-    merged = edges.groupBy("_host", "t", "kind", "_run").agg(
-        *[F.sum(c).alias(c) for c in ("n_start", "n_end", "t_start", "t_end")]
-    )
+    # Edges that tie in both are all loads or all window edges of one sort, and
+    # sums are read at window edges only, so any order among them is right.
     summed = running(
-        merged,
+        edges,
         ["_host"],
-        ["t", "kind", "_run"],
+        ["t", "kind"],
         F.floor(F.col("t") / (chunk_seconds * 1_000_000)),
         sums={f"c_{c}": F.col(c) for c in ("n_start", "n_end", "t_start", "t_end")},
     )

@@ -20,7 +20,7 @@ FILE_KINDS = {
     r"throughput_sweep\.csv$": "sweep_csv",
     r"sweep[^/]*\.log$": "sweep_log",
     r"exit_statuses[^/]*\.yaml$": "exit_status",
-    r"swebench[^/]*(report|results)\.json$": "grader_report",
+    r"swebench[^/]*\.json$|_report\.json$": "grader_report",
     r"swe_scoring[^/]*\.log$": "progress_log",
     r"DIAGNOSIS\.json$": "diagnosis",
     r"replay[^/]*\.json$": "replay",
