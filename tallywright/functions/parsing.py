@@ -127,6 +127,16 @@ def parse_measure(text: Column) -> Column:
     )
 
 
+def as_share(measure: Column) -> Column:
+    """A parsed measure on the scale of scores: ``97.19%`` and ``29/30`` become shares."""
+    value = measure["value"]
+    return (
+        F.when(measure["unit"] == "%", value / 100)
+        .when(measure["denominator"].isNotNull(), F.try_divide(value, measure["denominator"]))
+        .otherwise(value)
+    )
+
+
 def normalise_verdict(text: Column) -> Column:
     """``VERDICT: CLEAN`` / ``clean`` / empty -> ``CLEAN`` or null."""
     return F.nullif(F.upper(F.trim(F.regexp_replace(text, r"^\s*VERDICT:\s*", ""))), F.lit(""))

@@ -129,6 +129,33 @@ def fits_memory(
     ).withColumn("fits", F.col("n_hosts") > 0)
 
 
+def run_configs(metrics: DataFrame, run: str = "file") -> DataFrame:
+    """What a run's scores depend on, as one settings map per run and benchmark.
+
+    Built from the long ``metrics`` table: task hash, output budget, harness
+    version, the filters reported, and the client's arguments.
+    """
+    own = F.create_map(
+        F.lit("task_hash"), "task_hash",
+        F.lit("max_gen_toks"), F.col("max_gen_toks").cast("string"),
+        F.lit("harness_version"), "harness_version",
+        F.lit("filters"), "filters",
+    )
+    args = F.transform_keys(
+        F.coalesce("model_args", F.create_map().cast("map<string,string>")),
+        lambda k, v: F.concat(F.lit("args."), k),
+    )
+    # The rows of one run and benchmark repeat its settings: few, and equal.
+    per_run = metrics.groupBy(run, "task").agg(
+        *[F.any_value(c).alias(c) for c in ("task_hash", "max_gen_toks", "harness_version",
+                                            "model_args")],
+        F.array_join(F.array_sort(F.collect_set("filter")), ",").alias("filters"),
+    )
+    return per_run.select(
+        run, "task", F.map_filter(F.map_concat(own, args), lambda k, v: v.isNotNull()).alias("config")
+    )
+
+
 def comparability_check(
     configs: DataFrame, reference: str, system: str = "system", config: str = "config"
 ) -> DataFrame:

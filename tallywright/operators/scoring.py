@@ -57,6 +57,23 @@ def score_summary(scored: DataFrame, keys: Sequence[str], correct: str) -> DataF
     )
 
 
+def headline_scores(metrics: DataFrame, chosen: Mapping[str, tuple[str, str]]) -> DataFrame:
+    """The metric and filter that stand for each benchmark, from the long table.
+
+    ``chosen`` maps a benchmark to its (metric, filter); other rows and
+    standard errors are left out. Reruns of one benchmark all stay: pick among
+    them with ``run_ts`` or ``comparability_check`` before ranking.
+    """
+    table = F.create_map(
+        *[x for task, (m, f) in chosen.items() for x in (F.lit(task), F.lit(f"{m},{f}"))]
+    )
+    key = F.concat_ws(",", "metric", "filter")
+    return metrics.where(
+        (F.try_element_at(table, F.col("task")) == key)
+        & ~F.coalesce(F.col("is_stderr"), F.lit(False))
+    )
+
+
 def leaderboard(scores: DataFrame, tasks: Sequence[str], model: str = "system",
                 task: str = "task", value: str = "score") -> DataFrame:
     """Model x benchmark table; a cell that was never measured stays null."""

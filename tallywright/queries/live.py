@@ -150,10 +150,9 @@ def late_segments(spark, sf_dir):
         F.col("o_orderdate").cast("timestamp").alias("attempted_at"),
         F.col("o_orderkey").alias("attempt"), F.col("o_orderstatus").alias("status"),
     ).join(customers, "instance")
-    merged = verdicts.late_segments(
+    return verdicts.late_segments(
         attempts, ["system", "instance"], ["attempted_at", "attempt"], ["status", "repo"]
     )
-    return latest_rows(spark, drain(merged, "update"), ["system", "instance"])
 
 
 @register("run_sessions", """

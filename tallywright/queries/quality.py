@@ -42,6 +42,28 @@ def leaderboard(spark, sf_dir):
     return rounded(board, **{t: 6 for t in LANGS})
 
 
+@register("headline_scores", views("scored") + """
+SELECT system, task, 'exact_match' AS metric, CASE WHEN task = 'en' THEN 'line' ELSE 'fallback' END AS filter,
+  FALSE AS is_stderr, round(avg(CAST(CASE WHEN task = 'en' THEN ok_line ELSE ok_fallback END AS INT)), 6) AS value
+FROM scored WHERE task IN ('en', 'de', 'fr') GROUP BY system, task""")
+def headline_scores(spark, sf_dir):
+    both = F.array(
+        F.struct(F.lit("line").alias("filter"), F.col("ok_line").alias("ok")),
+        F.struct(F.lit("fallback").alias("filter"), F.col("ok_fallback").alias("ok")),
+    )
+    metrics = (
+        scored(spark, sf_dir)
+        .select("system", "task", F.explode(both).alias("f"))
+        .groupBy("system", "task", F.lit("exact_match").alias("metric"), F.col("f.filter").alias("filter"))
+        .agg(F.avg(F.col("f.ok").cast("int")).alias("value"))
+        .withColumn("is_stderr", F.lit(False))
+    )
+    chosen = {"en": ("exact_match", "line"), "de": ("exact_match", "fallback"),
+              "fr": ("exact_match", "fallback")}
+    out = scoring.headline_scores(metrics, chosen)
+    return rounded(out.select("system", "task", "metric", "filter", "is_stderr", "value"), value=6)
+
+
 @register("score_summary", views("scores") + """
 SELECT system, task, n, n_correct, round(score, 6) AS score,
   CASE WHEN n > 1 THEN round(sqrt(score * (1 - score) / (n - 1)), 6) END AS stderr

@@ -41,7 +41,7 @@ def level_throughput(spark, sf_dir):
 @register("request_latency", views("req", t="""SELECT system, value * 1000 AS e2e, value * 10 AS ttft,
     out_tok FROM req""") + """
 SELECT system, count(*) AS n, round(avg(CASE WHEN out_tok > 1 THEN (e2e - ttft) / (out_tok - 1) END), 4) AS mean_tpot_ms,
-  round(avg(ttft), 4) AS mean_ttft_ms, round(avg(out_tok * 1000 / e2e), 4) AS tok_s_per_user
+  round(avg(ttft), 4) AS mean_ttft_ms, round(avg(out_tok * 1000 / nullif(e2e, 0)), 4) AS tok_s_per_user
 FROM t GROUP BY system""")
 def request_latency(spark, sf_dir):
     r = req(spark, sf_dir).select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallywright.sources.agentic import FRAME_COUNT, parse_progress
+from tallywright.streaming.run import drain
 
 
 def progress_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +20,10 @@ def progress_source(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def progress_stream(frames: DataFrame, run: Column) -> DataFrame:
-    """Latest counters per run. Counters only grow, so the maximum is the latest."""
+    """Latest counters per run. Counters only grow, so the maximum is the latest.
+
+    State is one row of counters per run.
+    """
     parsed = parse_progress(frames.where(F.col("text").rlike(FRAME_COUNT)), run)
     return parsed.groupBy("run").agg(
         *[F.max(c).alias(c) for c in ("done", "total", "ok", "bad", "error", "elapsed_s")]
@@ -36,16 +40,26 @@ def ingest_results(
 def late_segments(
     attempts: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]
 ) -> DataFrame:
-    """Running last-status-wins verdicts; a late segment corrects earlier ones.
+    """Last-status-wins verdicts of a stream whose segments arrive late.
 
-    In update mode each batch emits the items whose verdict it touched, whatever
-    order the segments arrive in, because the latest attempt wins by its own
-    position and not by arrival. State holds one verdict per item and grows with
-    the number of items, which is what the verdict table itself holds.
+    The stream itself is stateless. Each micro-batch is reduced to one row per
+    item it touches and written to its own folder; merging those rows by the
+    attempt's position, not by arrival, gives the verdicts. So a segment may be
+    any amount late, nothing has to be kept in memory for it, and a replayed
+    batch replaces its own rows.
     """
     position = F.struct(*order)
+
+    def write(batch: DataFrame, target: str) -> None:
+        batch.groupBy(*keys).agg(
+            F.max(position).alias("_at"),
+            F.max_by(F.struct(*keep), position).alias("_last"),
+            F.count(F.lit(1)).alias("_n"),
+        ).write.mode("overwrite").parquet(target)
+
+    touched = attempts.sparkSession.read.parquet(drain(attempts, "append", write))
     return (
-        attempts.groupBy(*keys)
-        .agg(F.max_by(F.struct(*keep), position).alias("_last"), F.count(F.lit(1)).alias("n_attempts"))
+        touched.groupBy(*keys)
+        .agg(F.max_by("_last", "_at").alias("_last"), F.sum("_n").alias("n_attempts"))
         .select(*keys, *[F.col(f"_last.`{c}`").alias(c) for c in keep], "n_attempts")
     )

@@ -60,3 +60,31 @@ def test_interactive_operating_points(curves):
     out = throughput.slo_operating_point(curves)
     levels = [r[0] for r in by_sweep(out, "operating_level")]
     assert (levels[0], levels[4], levels[6]) == (16, 8, 4)
+
+
+def test_replayed_items_lift_the_published_score(spark):
+    """131 of 198 right, 41 cut off, 20 of those right when replayed: 151 of 198."""
+    from tallywright.operators import scoring, verdicts
+
+    base = spark.range(198).select(
+        F.col("id").alias("doc"), (F.col("id") < 131).alias("ok"), (F.col("id") >= 157).alias("cut")
+    )
+    todo = verdicts.rerun_worklist(base.select("doc"), base, ["doc"], F.col("cut"))
+    assert todo.count() == 41
+    replay = todo.select("doc", (F.col("doc") < 177).alias("ok"))
+    merged = verdicts.merge_reruns(base, replay, ["doc"], ["ok"])
+    score = scoring.score_summary(merged.withColumn("m", F.lit("x")), ["m"], "ok").first()
+    assert (score.n, score.n_correct, round(score.score, 4)) == (198, 151, 0.7626)
+    assert merged.where("source = 'replay'").count() == 41
+
+
+def test_head_to_head_counts(spark):
+    """33 both, 18 and 11 alone, 38 neither."""
+    from tallywright.operators import verdicts
+
+    items = spark.range(100).withColumnRenamed("id", "i")
+    a = items.select(F.lit("a").alias("s"), "i", (F.col("i") < 51).alias("ok"))
+    b = items.select(F.lit("b").alias("s"), "i",
+                     ((F.col("i") < 33) | F.col("i").between(51, 61)).alias("ok"))
+    got = verdicts.head_to_head(a.unionByName(b), "b", "s", "i", "ok").first()
+    assert (got.shared, got.both, got.system_only, got.reference_only, got.neither) == (100, 33, 18, 11, 38)

@@ -142,3 +142,35 @@ def test_catalogue_and_provenance(spark, fixtures):
     names = cat.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("path"))
     claimed = spark.createDataFrame([("DIAGNOSIS.json",), ("preds.json",)], "path string")
     assert rows(trust.provenance_check(claimed, names), "path") == [("preds.json",)]
+
+
+def test_runs_of_one_task_are_not_comparable(spark, fixtures):
+    from tallywright.operators.comparison import comparability_check, run_configs
+
+    m = results.read_eval_results(spark, f"{fixtures}/f1").withColumn(
+        "run", F.regexp_extract("file", "([a-z]+)[.]json$", 1))
+    configs = run_configs(m, "run").where("task = 'sums'")
+    diff = comparability_check(configs, "old", system="run")
+    got = {r.key: (r.value, r.reference) for r in diff.collect()}
+    assert got["task_hash"] == ("ccc", "aaa")
+    assert got["max_gen_toks"] == ("1024", "512")
+    assert got["filters"] == ("answer-line", "flexible,strict-match")
+    assert "args.model" not in got and got["args.num_concurrent"] == ("6", "4")
+
+
+def test_claims_are_reconciled_with_measured_scores(spark, fixtures):
+    from tallywright.functions import parsing
+    from tallywright.operators.comparison import reconcile
+    from tallywright.operators.scoring import headline_scores
+
+    m = results.read_eval_results(spark, f"{fixtures}/f1").withColumn(
+        "task", F.when(F.col("task") == "sums", "GSM").otherwise(F.col("task")))
+    measured = headline_scores(m, {"GSM": ("exact_match", "answer-line")}).select(
+        "model", F.col("task").alias("metric"), "value")
+    claims = reports.read_claims(spark, f"{fixtures}/f8").select(
+        "model", "metric", parsing.as_share(parsing.parse_measure(F.col("raw"))).alias("value"))
+    out = reconcile(claims, measured, ["model", "metric"], "value", 0.005)
+    status = {(r.model, r.metric): r.status for r in out.collect()}
+    assert status["lab/net-a", "GSM"] == "differs"
+    assert status["lab/net-a", "Runs"] == "not measured"
+    assert status["lab/net-b", "GSM"] == "not claimed"
