@@ -82,7 +82,7 @@ def corpus_hits(
     equal n-grams have equal hashes, so none is lost. The second pass compares
     the n-grams themselves, for those documents only.
     """
-    texts = spread(corpus.select(corpus_id, "text"))
+    texts = spread(corpus.select(corpus_id, "text"), corpus_id)
     wanted_hashes = _hash_rows(items, item_id, "text", n).select("gram")
     maybe = settle(
         _semi_join(_hash_rows(texts, corpus_id, "text", n), wanted_hashes, corpus_id)

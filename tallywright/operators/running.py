@@ -26,21 +26,26 @@ def running(
     chunk: Column,
     sums: Mapping[str, Column] | None = None,
     carries: Mapping[str, Column] | None = None,
+    previous: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add running sums and last-non-null values in ``order`` within ``keys``.
+    """Add running values in ``order`` within ``keys``.
+
+    ``sums`` are running sums, ``carries`` the last non-null value up to and
+    including the row, ``previous`` the last non-null value before the row.
 
     ``chunk`` must never decrease along ``order`` (a time bucket, a block of
     line numbers). Rows that tie in ``order`` follow each other in no fixed
     order, so it should be unique within ``keys`` unless that does not matter.
     """
-    sums, carries = dict(sums or {}), dict(carries or {})
-    names = [*sums, *carries]
+    sums, carries, previous = dict(sums or {}), dict(carries or {}), dict(previous or {})
+    lasts = {**carries, **previous}
+    names = [*sums, *lasts]
     rows = df.withColumn(CHUNK, chunk)
     position = F.struct(*[F.col(c) for c in order])
 
     totals = rows.groupBy(*keys, CHUNK).agg(
         *[F.sum(e).alias(n) for n, e in sums.items()],
-        *[F.max_by(e, F.when(e.isNotNull(), position)).alias(n) for n, e in carries.items()],
+        *[F.max_by(e, F.when(e.isNotNull(), position)).alias(n) for n, e in lasts.items()],
     )
     before = (
         Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
@@ -50,25 +55,24 @@ def running(
         CHUNK,
         F.lit(0).alias(IS_ROW),
         *[F.sum(n).over(before).alias(f"_v_{n}") for n in sums],
-        *[F.last(n, ignorenulls=True).over(before).alias(f"_v_{n}") for n in carries],
+        *[F.last(n, ignorenulls=True).over(before).alias(f"_v_{n}") for n in lasts],
     )
     values = rows.select(
         *df.columns,
         CHUNK,
         F.lit(1).alias(IS_ROW),
-        *[e.alias(f"_v_{n}") for n, e in {**sums, **carries}.items()],
-    )
-    inside = (
-        Window.partitionBy(*keys, CHUNK)
-        .orderBy(IS_ROW, *order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *[e.alias(f"_v_{n}") for n, e in {**sums, **lasts}.items()],
     )
+    along = Window.partitionBy(*keys, CHUNK).orderBy(IS_ROW, *order)
+    inside = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     stacked = values.unionByName(openings, allowMissingColumns=True)
     return stacked.select(
         *df.columns,
         IS_ROW,
         *[F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(n) for n in sums],
         *[F.last(f"_v_{n}", ignorenulls=True).over(inside).alias(n) for n in carries],
+        *[F.last(f"_v_{n}", ignorenulls=True).over(earlier).alias(n) for n in previous],
     ).where(F.col(IS_ROW) == 1).select(*df.columns, *names)
 
 

@@ -155,11 +155,26 @@ def late_segments(spark, sf_dir):
     )
 
 
-@register("run_sessions", """
+_RUNS = """
 WITH g AS (SELECT user_id AS host, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS n
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 s AS (SELECT *, sum(n) OVER (PARTITION BY host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
 r AS (SELECT host, min(ts) AS a, max(ts) + INTERVAL 12 HOUR AS b, count(*) AS events FROM s GROUP BY host, k)
+"""
+
+
+@register("table_sessions", _RUNS + """
+SELECT host, strftime(a, '%Y-%m-%d %H:%M:%S') AS run_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS run_end, events
+FROM r""")
+def table_sessions(spark, sf_dir):
+    activity = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    runs = metrics.table_sessions(activity, ["host"], gap_seconds=12 * 3600)
+    return runs.select("host", _at("run_start"), _at("run_end"), "events")
+
+
+@register("run_sessions", _RUNS + """
 SELECT host, strftime(a, '%Y-%m-%d %H:%M:%S') AS run_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS run_end, events
 FROM r WHERE b <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
 def run_sessions(spark, sf_dir):

@@ -229,8 +229,8 @@ def reconcile(spark, sf_dir):
 
 
 @register("fits_memory", """
-WITH models AS (SELECT p_partkey, p_size * CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 0.5
-    WHEN p_type IN ('STANDARD', 'MEDIUM') THEN 1.0 ELSE 2.0 END + 5 AS need_gb FROM part),
+WITH models AS (SELECT p_partkey, p_size * CAST(CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 0.5
+    WHEN p_type IN ('STANDARD', 'MEDIUM') THEN 1.0 ELSE 2.0 END AS DOUBLE) + 5 AS need_gb FROM part),
 hosts AS (SELECT CAST(floor(s_acctbal / 80) AS BIGINT) AS usable FROM supplier)
 SELECT p_partkey, round(need_gb, 1) AS need_gb,
   (SELECT min(usable) FROM hosts WHERE usable >= need_gb) AS smallest_fit_gb,

@@ -24,7 +24,7 @@ FILE_KINDS = {
     r"swe_scoring[^/]*\.log$": "progress_log",
     r"DIAGNOSIS\.json$": "diagnosis",
     r"replay[^/]*\.json$": "replay",
-    r"(RESULTS|SUMMARY)\.txt$|pi30[^/]*\.log$": "agent_log",
+    r"(RESULTS|SUMMARY)\.txt$|\.log$": "agent_log",
     r"results[^/]*\.json$": "eval_results",
     r"\.md$": "report",
 }

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.operators.running import running, time_chunk
+
 WATERMARK = "2 days"
 
 
@@ -97,3 +99,33 @@ def run_sessions(
             "events",
         )
     )
+
+
+def table_sessions(
+    activity: DataFrame, keys: Sequence[str], ts: str = "ts", gap_seconds: int = 86400
+) -> DataFrame:
+    """``run_sessions`` for tables, for keys of any size.
+
+    A session window would bring all rows of a key to one task. Here a row that
+    comes a gap or more after the one before it opens a run, and running sums
+    over time chunks number the runs. The last run of a key counts as ended.
+    """
+    rows = activity.select(*keys, ts)
+    chunk = time_chunk(ts, max(gap_seconds, 3600))
+    seen = running(rows, keys, [ts], chunk, previous={"_before": F.col(ts)})
+    apart = F.unix_micros(ts) - F.unix_micros("_before")
+    opens = F.when(F.coalesce(apart >= gap_seconds * 1_000_000, F.lit(True)), 1).otherwise(0)
+    # Of rows at one instant, the one that opens the run has to come first.
+    marked = seen.withColumn("_rest", F.lit(1) - opens)
+    runs = running(
+        marked, keys, [ts, "_rest"], chunk, sums={"_run": (1 - F.col("_rest")).cast("bigint")}
+    )
+    return (
+        runs.groupBy(*keys, "_run")
+        .agg(
+            F.min(ts).alias("run_start"),
+            F.timestamp_micros(F.unix_micros(F.max(ts)) + gap_seconds * 1_000_000).alias("run_end"),
+            F.count(F.lit(1)).alias("events"),
+        )
+        .drop("_run")
+    )

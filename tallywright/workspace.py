@@ -41,11 +41,12 @@ def settle(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(table: DataFrame) -> DataFrame:
+def spread(table: DataFrame, key: str) -> DataFrame:
     """Give every core a share of a table that arrives in fewer splits than that.
 
-    For stages that compute much per byte read. A table with enough splits is
-    returned as it is, so at scale no shuffle is added.
+    For stages that compute much per byte read. Rows are placed by a hash of
+    ``key``, so a repeated task sees the same rows. A table with enough splits
+    is returned as it is, so at scale no shuffle is added.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table

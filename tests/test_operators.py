@@ -56,9 +56,11 @@ def test_running_equals_plain_window(spark, width):
     df = spark.createDataFrame(skewed(800)).withColumn("h", F.when(F.col("t") % 13 == 0, F.col("t")))
     w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     plain = df.select("k", "t", F.sum(F.col("t") % 5).over(w).alias("s"),
-                      F.last("h", ignorenulls=True).over(w).alias("c"))
+                      F.last("h", ignorenulls=True).over(w).alias("c"),
+                      F.lag("t").over(Window.partitionBy("k").orderBy("t")).alias("p"))
     ours = running.running(df, ["k"], ["t"], F.floor(F.col("t") / width),
-                           sums={"s": F.col("t") % 5}, carries={"c": F.col("h")}).select("k", "t", "s", "c")
+                           sums={"s": F.col("t") % 5}, carries={"c": F.col("h")},
+                           previous={"p": F.col("t")}).select("k", "t", "s", "c", "p")
     assert ours.count() == 800
     assert ours.exceptAll(plain).count() == 0
 

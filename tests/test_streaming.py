@@ -105,12 +105,14 @@ def test_late_segment_does_not_undo_a_newer_verdict(spark):
 
 
 def test_sessions_close_after_the_gap(spark):
-    rows = [sample(0, 0), sample(5, 0), sample(100, 0)]
+    rows = [sample(0, 0), sample(5, 0), sample(100, 0), sample(100, 1)]
     later = [sample(60 * 24 * 4, 0)]
     runs = metrics.run_sessions(feed(spark, SAMPLES, rows, later), ["host"], gap="30 minutes")
     closed = all_rows(spark, drain(runs, "append")).orderBy("run_start").collect()
+    table = metrics.table_sessions(spark.createDataFrame(rows, SAMPLES), ["host"], gap_seconds=1800)
+    assert table.select("host", "run_start", "run_end", "events").orderBy("run_start").collect() == closed
     assert [(r.run_start, r.run_end, r.events) for r in closed] == [
-        (at(0), at(35), 2), (at(100), at(130), 1)]
+        (at(0), at(35), 2), (at(100), at(130), 2)]
 
 
 def test_instant_rate_is_compared_with_the_run(spark):
