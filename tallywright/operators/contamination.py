@@ -18,8 +18,12 @@ from tallywright.workspace import settle, spread
 
 # Fixed value: words per n-gram.
 NGRAM = 13
-# A hot n-gram's corpus rows spread over this many join keys.
-SALTS = 16
+# Largest evaluation side that is broadcast, and what a row of it takes in memory.
+BROADCAST_BYTES = 64 << 20
+HASH_BYTES = 32
+WORD_BYTES = 24
+# Beyond that, a hot n-gram's corpus rows spread over this many join keys.
+SALTS = 64
 
 
 def _words(text: str) -> Column:
@@ -58,23 +62,28 @@ def _hash_rows(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
     return hashed.select(id_col, F.explode(_windows("_w", n, F.xxhash64)).alias("gram"))
 
 
-def _semi_join(rows: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
-    """Rows whose gram is wanted, with hot grams spread by a salt.
+def _semi_join(
+    rows: DataFrame, wanted: DataFrame, id_col: str, row_bytes: int, broadcast_bytes: int
+) -> DataFrame:
+    """Rows whose gram is wanted.
 
-    The salt comes from the document and the wanted side is repeated once per
-    salt, so the rows of one gram have many join partitions whenever the wanted
-    side is too large to be broadcast.
+    The wanted side is written out and counted. Up to ``broadcast_bytes`` it is
+    broadcast, and the corpus rows are filtered where they are. Beyond that the
+    join key carries a salt taken from the document, with the wanted side
+    repeated once per salt, so the rows of a hot gram have many partitions.
     """
+    known = settle(wanted.distinct(), "evaluation-grams")
+    if known.count() * row_bytes <= broadcast_bytes:
+        return join_on(rows, F.broadcast(known), ["gram"], "left_semi", null_safe=False)
     salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
-    salted = wanted.distinct().withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
+    salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", salt)
     return join_on(rows, salted, ["gram", "_salt"], "left_semi", null_safe=False).drop("_salt")
 
 
 def corpus_hits(
-    corpus: DataFrame, items: DataFrame, corpus_id: str, item_id: str, n: int = NGRAM
+    corpus: DataFrame, items: DataFrame, corpus_id: str, item_id: str, n: int = NGRAM,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Distinct corpus n-grams (document, gram) that some evaluation item also has.
 
@@ -85,25 +94,32 @@ def corpus_hits(
     texts = spread(corpus.select(corpus_id, "text"), corpus_id)
     wanted_hashes = _hash_rows(items, item_id, "text", n).select("gram")
     maybe = settle(
-        _semi_join(_hash_rows(texts, corpus_id, "text", n), wanted_hashes, corpus_id)
+        _semi_join(
+            _hash_rows(texts, corpus_id, "text", n), wanted_hashes, corpus_id, HASH_BYTES,
+            broadcast_bytes,
+        )
         .select(corpus_id)
         .distinct(),
         "candidate-documents",
     )
     documents = join_on(texts, maybe, [corpus_id], "left_semi", null_safe=False)
     wanted = ngram_rows(items, item_id, "text", n).select("gram")
-    return _semi_join(ngram_rows(documents, corpus_id, "text", n), wanted, corpus_id).distinct()
+    return _semi_join(
+        ngram_rows(documents, corpus_id, "text", n), wanted, corpus_id, n * WORD_BYTES,
+        broadcast_bytes,
+    ).distinct()
 
 
 def item_contamination(
-    corpus: DataFrame, items: DataFrame, corpus_id: str, item_id: str, n: int = NGRAM
+    corpus: DataFrame, items: DataFrame, corpus_id: str, item_id: str, n: int = NGRAM,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Per evaluation item: its n-grams and how many the corpus holds.
 
     Corpus n-grams are reduced to those the items have and then to distinct
     ones, so what is joined back is bounded by the evaluation set.
     """
-    found = corpus_hits(corpus, items, corpus_id, item_id, n).select("gram").distinct()
+    found = corpus_hits(corpus, items, corpus_id, item_id, n, broadcast_bytes).select("gram").distinct()
     marked = join_on(
         ngram_rows(items, item_id, "text", n).distinct(), found.withColumn("_hit", F.lit(1)), ["gram"], "left",
         null_safe=False,
@@ -115,9 +131,10 @@ def item_contamination(
 
 
 def document_contamination(
-    corpus: DataFrame, items: DataFrame, corpus_id: str, item_id: str, n: int = NGRAM
+    corpus: DataFrame, items: DataFrame, corpus_id: str, item_id: str, n: int = NGRAM,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Per document that holds any evaluation n-gram: how many it holds."""
-    return corpus_hits(corpus, items, corpus_id, item_id, n).groupBy(corpus_id).agg(
+    return corpus_hits(corpus, items, corpus_id, item_id, n, broadcast_bytes).groupBy(corpus_id).agg(
         F.count(F.lit(1)).alias("n_hits")
     )

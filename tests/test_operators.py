@@ -112,7 +112,8 @@ def test_peak_concurrency_matches_brute_force(spark):
     assert got.peak_concurrency == want
 
 
-def test_contamination_matches_brute_force(spark):
+@pytest.mark.parametrize("broadcast_bytes", [0, contamination.BROADCAST_BYTES])
+def test_contamination_matches_brute_force(spark, broadcast_bytes):
     rng = random.Random(6)
     vocab = [f"w{i}" for i in range(30)]
     def text(n):
@@ -129,11 +130,11 @@ def test_contamination_matches_brute_force(spark):
     evals = spark.createDataFrame(items, "item long, text string")
     every = set().union(*(grams(t) for _, t in docs))
     got = {r.item: (r.n_grams, r.n_found) for r in
-           contamination.item_contamination(corpus, evals, "doc", "item", n).collect()}
+           contamination.item_contamination(corpus, evals, "doc", "item", n, broadcast_bytes).collect()}
     assert got == {i: (len(grams(t)), len(grams(t) & every)) for i, t in items if grams(t)}
     wanted = set().union(*(grams(t) for _, t in items))
     hits = {r.doc: r.n_hits for r in
-            contamination.document_contamination(corpus, evals, "doc", "item", n).collect()}
+            contamination.document_contamination(corpus, evals, "doc", "item", n, broadcast_bytes).collect()}
     assert hits == {i: len(grams(t) & wanted) for i, t in docs if grams(t) & wanted}
 
 
