@@ -21,11 +21,14 @@ from tallywright.workspace import settle
 
 # Buckets per e-fold of magnitude: each spans about 0.006% of its value.
 RESOLUTION = 16384
+# Infinities share the bucket of the largest finite values.
+LARGEST = 1.7e308
 
 
 def _bucket(v: Column) -> Column:
     """A value's bucket; never decreases as the value grows."""
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v)) * RESOLUTION)).cast("bigint")
+    size = F.least(F.abs(v), F.lit(LARGEST))
+    return (F.signum(v) * F.floor(F.log1p(size) * RESOLUTION)).cast("bigint")
 
 
 def _ranks(p: float, n: Column, rule: str) -> list[Column]:

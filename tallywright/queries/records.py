@@ -337,23 +337,21 @@ def catalog_runs(spark, sf_dir):
 
 
 def _catalogued(spark, sf_dir):
-    """Catalogue of a derived tree ``<model>/raw/<file>/part-*``."""
+    """Catalogue of a derived tree with a folder per model and file."""
     root = shared_dir(spark, "tree")
     levels = lvl(spark, sf_dir).select(
-        "system", "concurrency", F.to_json(F.struct("out_tok_s")).alias("value")
+        F.col("system").alias("model"), "concurrency", F.to_json(F.struct("out_tok_s")).alias("value")
     )
     # Folder names stand for file names: the text sink names its own part files.
-    for system in ("A", "N", "R"):
-        own = levels.where(F.col("system") == system)
-        own.select("concurrency", "value").write.partitionBy("concurrency").text(
-            f"{root}/{system}/raw/bench_c.json"
-        )
-        own.select("value").write.text(f"{root}/{system}/raw/sweep.log")
-    found = reports.catalog_runs(spark, root)
-    name = F.regexp_extract("path", r"/raw/(.*)/[^/]+$", 1)
-    stem = F.regexp_extract("path", r"/raw/([^/]+)", 1)
-    kind = F.when(stem.rlike("^bench"), "bench_level").otherwise("sweep_log")
-    return found.select("model", name.alias("name"), kind.alias("kind"))
+    levels.withColumn("file", F.lit("bench_c.json")).write.partitionBy(
+        "model", "file", "concurrency"
+    ).text(root)
+    levels.select("model", F.lit("sweep.log").alias("file"), "value").write.mode("append").partitionBy(
+        "model", "file"
+    ).text(root)
+    name = F.regexp_extract("path", r"/file=(.*)/[^/]+$", 1)
+    kind = F.when(name.startswith("bench"), "bench_level").otherwise("sweep_log")
+    return reports.catalog_runs(spark, root).select("model", name.alias("name"), kind.alias("kind"))
 
 
 @register("provenance_check", views("lvl") + """

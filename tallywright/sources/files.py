@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 # Order of lines within a file, and the piece of the file they come from.
 LINE_ORDER = ["block", "ln"]
 MODEL_DIR = r"/([^/]+)/raw/"
+MODEL_PARTITION = r"/model=([^/]+)/"
 
 
 def model_of(path: Column) -> Column:
-    """Model a file belongs to: the directory above ``raw``, else the file's parent."""
+    """Model a file belongs to.
+
+    It is the directory above ``raw``, else the ``model=`` partition, else the
+    file's parent directory.
+    """
     return F.coalesce(
         F.nullif(F.regexp_extract(path, MODEL_DIR, 1), F.lit("")),
+        F.nullif(F.regexp_extract(path, MODEL_PARTITION, 1), F.lit("")),
         F.nullif(F.regexp_extract(path, r"/([^/=]+=)?([^/]+)/[^/]+$", 2), F.lit("")),
     )
 

@@ -51,6 +51,13 @@ def test_quantiles_ignore_nulls_and_keep_single_rows(spark):
     assert got == {"a": (1, 2.0), "c": (1, -1.0)}
 
 
+def test_quantiles_of_extreme_values(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("a", x) for x in (-inf, -1e300, -0.0, 0.0, 5e-324, 1e300, inf)], "k string, v double")
+    row = exact_quantiles(df, ["k"], "v", {"lo": 0.0, "q": 0.2, "m": 0.5, "hi": 0.99}, rule="index").first()
+    assert (row.n, row.lo, row.q, row.m, row.hi) == (7, -inf, -1e300, 0.0, inf)
+
+
 @pytest.mark.parametrize("width", [1, 7, 100, 10_000])
 def test_running_equals_plain_window(spark, width):
     df = spark.createDataFrame(skewed(800)).withColumn("h", F.when(F.col("t") % 13 == 0, F.col("t")))

@@ -174,3 +174,25 @@ def test_claims_are_reconciled_with_measured_scores(spark, fixtures):
     assert status["lab/net-a", "GSM"] == "differs"
     assert status["lab/net-a", "Runs"] == "not measured"
     assert status["lab/net-b", "GSM"] == "not claimed"
+
+
+def test_logs_read_in_many_splits_keep_their_order(spark, fixtures):
+    """Files cut every 200 bytes over several tasks give the same rows."""
+    def read():
+        return [
+            rows(agentic.read_exit_status(spark, f"{fixtures}/f5"), "run", "segment", "status", "instance_id"),
+            rows(sweeps.read_sweep_log(spark, f"{fixtures}/f3").drop("file"), "model", "concurrency",
+                 "num_prompts", "out_tok_s", "mean_tpot_ms", "engine_running_before"),
+            rows(agentic.read_agent_log(spark, f"{fixtures}/f6"), "problem", "event", "candidate", "score", "model"),
+            rows(agentic.read_progress_log(spark, f"{fixtures}/f7"), "seq", "done", "ok", "elapsed_s"),
+        ]
+
+    whole = read()
+    setting = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "200b")
+    try:
+        assert spark.read.text(f"{fixtures}/f3/net-c/raw").rdd.getNumPartitions() > 4
+        assert read() == whole
+    finally:
+        spark.conf.set(setting, before)
