@@ -40,8 +40,8 @@ def level_throughput(spark, sf_dir):
 
 @register("request_latency", views("req", t="""SELECT system, value * 1000 AS e2e, value * 10 AS ttft,
     out_tok FROM req""") + """
-SELECT system, count(*) AS n, round(avg(CASE WHEN out_tok > 1 THEN (e2e - ttft) / (out_tok - 1) END), 4) AS mean_tpot_ms,
-  round(avg(ttft), 4) AS mean_ttft_ms, round(avg(out_tok * 1000 / nullif(e2e, 0)), 4) AS tok_s_per_user
+SELECT system, count(*) AS n, round(avg(CASE WHEN out_tok > 1 THEN (e2e - ttft) / (out_tok - 1) END), 6) AS mean_tpot_ms,
+  round(avg(ttft), 6) AS mean_ttft_ms, round(avg(out_tok * 1000 / nullif(e2e, 0)), 6) AS tok_s_per_user
 FROM t GROUP BY system""")
 def request_latency(spark, sf_dir):
     r = req(spark, sf_dir).select(
@@ -49,7 +49,7 @@ def request_latency(spark, sf_dir):
         "out_tok",
     )
     out = throughput.request_latency(r, ["system"])
-    return rounded(out, mean_tpot_ms=4, mean_ttft_ms=4, tok_s_per_user=4)
+    return rounded(out, mean_tpot_ms=6, mean_ttft_ms=6, tok_s_per_user=6)
 
 
 @register("peak_rate", views("req", b="""SELECT outcome, date_trunc('hour', ts) AS h,
