@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tallywright.llm import quality, simhash
+from tallywright.llm import huffman, mixing, packing, quality, simhash, tokens
+from tallywright.workspace import settle, shared_dir
 
+VOCABULARY, END_ID = "word_bpe_49k.json", 1
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -61,3 +63,24 @@ FROM counts"""
 @query
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def ids_of_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    return settle(tokens.tokenise(docs, public_tokenizers.path(VOCABULARY), END_ID), "token-ids")
+
+
+@query
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(ids_of_documents(spark, table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark, "id-files")
+    huffman.write_ids(ids_of_documents(spark, table(spark, sf_dir, "documents")), folder)
+    return huffman.read_ids(spark, folder)
+
+
+@query
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
