@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallywright.llm.rows import small_batches
+from tallywright.llm.rows import ship, small_batches
 from tallywright.llm.tokens import id_counts, id_type
 from tallywright.workspace import settle
 
@@ -208,6 +208,7 @@ def read_ids(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFr
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
+    ship(spark)
     schema = "part int, doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
     found = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").mapInArrow(run, schema)
     index = spark.read.schema("part int, before long").parquet(f"{folder}/index")

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words: space and U+0009 to U+000D. ``bytes.split()`` uses the same six.
 SPACES = " \t\n\x0b\f\r"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        parent, name = os.path.split(package)
+        base = os.path.join(tempfile.mkdtemp(prefix="run-"), name)
+        context.addPyFile(shutil.make_archive(base, "zip", parent, name))
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once per row, also inside higher-order functions."""
     return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallywright.llm.graph import components
-from tallywright.llm.rows import small_batches
+from tallywright.llm.rows import ship, small_batches
 from tallywright.workspace import settle
 
 SHINGLE = 3
@@ -52,6 +52,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             fps = [fingerprint(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, fp long"
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.llm.rows import small_batches
+from tallywright.llm.rows import ship, small_batches
 
 CHUNK = 1 << 20
 MARK = "\x01"
@@ -227,6 +227,7 @@ def tokenise(docs: DataFrame, path: str, end_id: int, doc_id: str = "doc_id", te
                 ["doc_id", "n", "width", "lead", "ids"],
             )
 
+    ship(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         run, "doc_id long, n long, width int, lead long, ids binary"
     )
@@ -253,5 +254,6 @@ def id_counts(tokens: DataFrame, in_documents: bool = False) -> dict[int, int]:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "c"])
 
+    ship(tokens.sparkSession)
     counted = tokens.select("width", "ids").mapInArrow(run, "id long, c long")
     return {r["id"]: r["c"] for r in counted.groupBy("id").agg(F.sum("c").alias("c")).collect()}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallywright.llm.graph import components
-from tallywright.llm.rows import small_batches
+from tallywright.llm.rows import ship, small_batches
 from tallywright.workspace import settle
 
 THRESHOLD = 0.9
@@ -124,6 +124,7 @@ def near_vectors(
     :data:`BLOCK` rows are dealt out as pairs of blocks, so that no task holds a whole hot bucket,
     and no pair leaves a task: only each vector's number of links and what joins its block.
     """
+    ship(vectors.sparkSession)
     double = isinstance(vectors.schema[embedding].dataType.elementType, T.DoubleType)
     kind = np.dtype("<f8" if double else "<f4")
 
