@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import huffman, mixing, packing, quality, simhash, suffixes, tokens, vectors
+from tallywright.llm import huffman, language, mixing, packing, quality, simhash, suffixes, tokens, urls, vectors
 from tallywright.workspace import settle, shared_dir
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -94,3 +94,74 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url", "score")
+
+
+def url_sql() -> str:
+    def level(k: int) -> str:
+        ctx = f"substr(s, 1, {k - 1})" if k > 1 else "''"
+        p = "CASE WHEN n{0} > 0 THEN ({0} + d{0} * q{0}) / (n{0} + d{0}) ELSE q{0} END AS p{0}"
+        shorter = (
+            f"JOIN (SELECT s AS tail, pa AS qa, pr AS qr FROM smooth{k - 1}) q ON q.tail = substr(c.s, 2)"
+            if k > 1 else "CROSS JOIN (SELECT 1.0::DOUBLE / (count(DISTINCT right(gram, 1)) + 1) AS qa, qa AS qr FROM counts) q"
+        )
+        return f"""
+counts{k} AS (
+  SELECT *, {ctx} AS ctx FROM (SELECT right(gram, {k}) AS s, sum(a)::DOUBLE AS a, sum(r)::DOUBLE AS r FROM counts GROUP BY 1)),
+totals{k} AS (
+  SELECT ctx, sum(a) AS na, sum(r) AS nr, count(*) FILTER (WHERE a > 0) AS da, count(*) FILTER (WHERE r > 0) AS dr
+  FROM counts{k} GROUP BY ctx),
+smooth{k} AS (
+  SELECT c.s, {p.format("a")}, {p.format("r")} FROM counts{k} c JOIN totals{k} t ON t.ctx = c.ctx {shorter}),"""
+
+    rule = " ".join(
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'"
+        for r in urls.by_length(urls.RULES)
+    )
+    allow = ", ".join(f"'{r.name}'" for r in urls.RULES if r.verdict == "allow")
+    return f"""
+WITH rest AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+ruled AS (SELECT *, CASE {rule} END AS rule FROM split),
+known AS (
+  SELECT DISTINCT url, CASE WHEN rule IN ({allow}) THEN 1 WHEN rule IS NULL THEN 0 ELSE -1 END AS kind,
+    substr(md5(url), 1, 1) IN ('0', '1', '2') AS held FROM ruled WHERE url <> ''),
+grams AS (
+  SELECT url, kind, held, substr(repeat(chr(2), 4) || url, i, 5) AS gram
+  FROM (SELECT *, unnest(range(1, length(url) + 1)) AS i FROM known)),
+counts AS (
+  SELECT gram, count(*) FILTER (WHERE NOT held AND kind = 1) AS a, count(*) FILTER (WHERE NOT held AND kind = -1) AS r
+  FROM grams GROUP BY gram),{"".join(level(k) for k in range(1, 6))}
+scored AS (
+  SELECT url, kind, round(sum(ln(pa) - ln(pr)) / count(*), 6) AS score
+  FROM grams JOIN smooth5 ON s = gram WHERE kind = 0 OR held GROUP BY url, kind),
+steps AS (
+  SELECT CAST(floor(score * 100) AS BIGINT) AS step, count(*) FILTER (WHERE kind = 1) AS a,
+    count(*) FILTER (WHERE kind = -1) AS r FROM scored WHERE kind <> 0 GROUP BY 1),
+errors AS (
+  SELECT step, round(coalesce(sum(a) OVER below, 0) / nullif(sum(a) OVER (), 0) + 1
+    - coalesce(sum(r) OVER below, 0) / nullif(sum(r) OVER (), 0), 9) AS e
+  FROM steps WINDOW below AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (
+  SELECT coalesce((SELECT step / 100 FROM errors WHERE e IS NOT NULL ORDER BY e, abs(step), step LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ({allow}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN coalesce(score, 0) >= cut THEN 'allow' ELSE 'block' END AS verdict
+FROM ruled LEFT JOIN (SELECT url, score FROM scored WHERE kind = 0) USING (url) CROSS JOIN cut"""
+
+
+SQL["op3_url_filter"] = url_sql()
