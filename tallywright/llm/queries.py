@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import huffman, language, mixing, packing, quality, simhash, suffixes, tokens, urls, vectors
+from tallywright.llm import huffman, language, mixing, packing, privacy, quality, simhash, suffixes, tokens, urls, vectors
 from tallywright.workspace import settle, shared_dir
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -165,3 +165,9 @@ FROM ruled LEFT JOIN (SELECT url, score FROM scored WHERE kind = 0) USING (url)
 
 
 SQL["op3_url_filter"] = url_sql()
+
+
+@query
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return privacy.find_personal(docs, privacy.fit(docs))
