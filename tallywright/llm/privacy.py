@@ -374,7 +374,8 @@ def mask_personal(docs: DataFrame, model: Field, text: str = "text", n_chars: st
     """The documents with all spans masked in ``text`` and its new length in ``n_chars``; null stays null."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text)
+    schema, place = docs.schema, docs.columns.index(text)
+    sized = docs.columns.index(n_chars) if n_chars in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -383,9 +384,9 @@ def mask_personal(docs: DataFrame, model: Field, text: str = "text", n_chars: st
             new = [None if t is None else masked(t, every) for t, (_, every) in zip(content, found)]
             columns = list(batch.columns)
             columns[place] = pa.array(new, batch.schema.field(place).type)
-            if n_chars in docs.columns:
-                k = docs.columns.index(n_chars)
-                columns[k] = pa.array([None if t is None else len(t) for t in new]).cast(batch.schema.field(k).type)
+            if sized is not None:
+                lengths = pa.array([None if t is None else len(t) for t in new], pa.int64())
+                columns[sized] = lengths.cast(batch.schema.field(sized).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, schema)
