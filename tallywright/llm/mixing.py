@@ -178,23 +178,29 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+KEYS = ("_id", "_no_id", "_source", "_no_source", "_size")
+
+
+def _keys(doc_id: Column, source: Column, size: Column) -> list[Column]:
+    """What tells kinds of rows apart, without nulls."""
+    values = (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), F.coalesce(source, F.lit("")), source.isNull(), size)
+    return [v.alias(k) for v, k in zip(values, KEYS)]
+
+
 def mixed_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with their own columns.
 
     A part is the row's first words, joined by single spaces, with its length in ``n_chars``.
     """
     plan = mix(docs, text=text, **options).select(
-        *[F.col(c).alias(f"_{c}") for c in ("source", "doc_id", "size")], "n_rows", "copies", "part"
+        *_keys(F.col("doc_id"), F.col("source"), F.col("size")), "n_rows", "copies", "part"
     )
-    sized = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_r"))
     size = F.size(words_of(F.col(f"_r.{text}"))).cast("long")
-    keys = [
-        F.col("_r.doc_id").eqNullSafe(F.col("_doc_id")),
-        F.col("_r.source").eqNullSafe(F.col("_source")),
-        size == F.col("_size"),
-    ]
-    joined = sized.join(plan, reduce(Column.__and__, keys))
-    same = W.partitionBy("_doc_id", "_source", "_size").orderBy(f"_r.{text}")
+    # The shuffle comes before the join so that sorting compares a number, not an expression over texts.
+    sized = row.select("_r", *_keys(F.col("_r.doc_id"), F.col("_r.source"), size)).repartition(*KEYS)
+    joined = sized.join(plan, list(KEYS))
+    same = W.partitionBy(*KEYS).orderBy(f"_r.{text}")
     single = joined.filter("n_rows = 1").withColumn("_k", F.lit(1).cast("long"))
     several = joined.filter("n_rows > 1").withColumn("_k", F.row_number().over(same).cast("long"))
     copies, words = _share_of(F.col("_k"))

@@ -122,8 +122,11 @@ def score_quality(
     for rule in base:
         failed = failed | broken(rule)
     names = F.array_compact(F.array(*[F.when(broken(r), F.lit(r.name)) for r in (*base, *rules)]))
+    # A filter on the verdict must not be moved below the projections: it would repeat the word split
+    # for every use. The row number, always true here, is what Spark moves no filter across.
+    pinned = F.monotonically_increasing_id() >= 0
     verdict = F.struct(
-        "_counts.*", failed.alias("base_failed"), names.alias("broken"), (F.size(names) == 0).alias("kept")
+        "_counts.*", failed.alias("base_failed"), names.alias("broken"), ((F.size(names) == 0) & pinned).alias("kept")
     )
     return with_columns(
         counted.withColumn("_quality", verdict).drop("_counts"),
