@@ -42,6 +42,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
 def _grams(data: bytes) -> np.ndarray:
     """The eight bytes from each position as one number."""
     n = len(data) - GRAM + 1
@@ -98,7 +104,7 @@ def _partners(at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _read(texts: DataFrame) -> DataFrame:
-    """(key, idx, name, step0, gap0, ...) for every anchor; name: hash of the first 64 bytes."""
+    """(key, idx, name, anchor, first, last, step0, gap0, ...); name: hash of the first 64 bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
@@ -108,16 +114,17 @@ def _read(texts: DataFrame) -> DataFrame:
                 if not len(whole):
                     continue
                 at = at[whole]
+                places = [pa.array(x, pa.int32()) for x in (at, first[whole], last[whole])]
                 name = np.zeros(len(at), np.uint64)
                 for k in range(0, FIRST, GRAM):
                     name = _mixed(name ^ grams[at + k]) + np.uint64(k)
-                columns = [pa.array([key] * len(at), pa.binary()), pa.array(whole, pa.int32()), pa.array(name.view(np.int64))]
+                columns = [pa.array([key] * len(at), pa.binary()), pa.array(whole, pa.int32()), pa.array(name.view(np.int64)), *places]
                 for gap in ROUNDS:
                     columns += [pa.array(x.astype(np.int16)) for x in _partners(at, gap)]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["key", "idx", "name"] + [f"{c}{k}" for k in range(len(ROUNDS)) for c in ("step", "gap")]
-    schema = "key binary, idx int, name long" + "".join(f", step{k} short, gap{k} short" for k in range(len(ROUNDS)))
+    names = ["key", "idx", "name", "anchor", "first", "last"] + [f"{c}{k}" for k in range(len(ROUNDS)) for c in ("step", "gap")]
+    schema = "key binary, idx int, name long, anchor int, first int, last int" + "".join(f", step{k} short, gap{k} short" for k in range(len(ROUNDS)))
     return texts.select("key", "text").mapInArrow(run, schema)
 
 
@@ -129,12 +136,12 @@ def _repeated(named: DataFrame, on: list[str]) -> DataFrame:
 
 
 def repeated_anchors(texts: DataFrame) -> DataFrame:
-    """(key, idx, name): anchors whose suffix occurs again as far as the doubling reaches.
+    """(key, anchor, name, first, last): anchors whose suffix occurs again as far as the doubling reaches.
 
     Round by round an anchor's name becomes the sorted pair of its own name and that of the anchor
     ``gap`` bytes on; names that are unique leave, as does whatever has a unique name further on.
     """
-    left = settle(_repeated(_read(texts), ["name"]), "suffix-names")
+    left = settle(_repeated(settle(_read(texts), "suffix-anchors"), ["name"]), "suffix-names")
     for k in range(len(ROUNDS)):
         ahead = left.select("key", F.col("idx").alias("next"), F.col("name").alias("second"))
         step = left.withColumn("next", F.col("idx") + F.col(f"step{k}"))
@@ -142,55 +149,86 @@ def repeated_anchors(texts: DataFrame) -> DataFrame:
             "name", F.xxhash64("name", f"gap{k}", "second")
         ).drop("next", "second")
         left = settle(_repeated(paired, ["name"]), f"suffix-names-{k + 1}")
-    return left.select("key", "idx", "name")
-
-
-CONTEXT = "key binary, name long, first int, last int, context binary"
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per candidate: the starts it stands for, and a digest of all their bytes."""
-    for batch in small_batches(batches, 1 << 20):
-        out = []
-        for row in batch.to_pylist():
-            data = row["text"].encode()
-            _, first, last, _ = anchors(data)
-            for c in row["found"]:
-                a, b = int(first[c["idx"]]), int(last[c["idx"]])
-                if a <= b:
-                    digest = hashlib.blake2b(data[a : b + LENGTH], digest_size=12).digest()
-                    out.append((row["key"], c["name"], a, b, digest))
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 5, kinds)]
-        yield pa.RecordBatch.from_arrays(columns, ["key", "name", "first", "last", "context"])
-
-
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per start in the given ranges: a 64-bit hash of the 400 bytes there."""
-    power = np.ones(1, np.uint64)
-    for batch in small_batches(batches, 1 << 20):
-        for row in batch.to_pylist():
-            data = np.frombuffer(row["text"].encode(), np.uint8)
-            if len(power) <= len(data):
-                power = np.full(2 * len(data), _BASE, np.uint64)
-                power[0] = 1
-                power = np.multiply.accumulate(power)
-                inverse = np.full(len(power), pow(_BASE, -1, 1 << 64), np.uint64)
-                inverse[0] = 1
-                inverse = np.multiply.accumulate(inverse)
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum(_MIX[data] * power[: len(data)], out=total[1:])
-            for c in row["found"]:
-                at = np.arange(c["first"], c["last"] + 1)
-                h = _mixed((total[at + LENGTH] - total[at]) * inverse[at])
-                n = len(at)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([row["key"]] * n, pa.binary()), pa.array([c["name"]] * n, pa.int64()),
-                        pa.array(at, pa.int32()), pa.array(h.view(np.int64)), pa.array([c["open"]] * n, pa.bool_()),
-                    ],
-                    ["key", "name", "at", "h", "open"],
-                )
+    return left.filter("first <= last").select("key", "anchor", "name", "first", "last")
+
+
+#: Starts that one row stands for, round by round; at 1 a row is one string.
+GRIDS = (WINDOW, 16, 1)
+PARTS = "key binary, anchor int, name long, part int, first int, last int, core long, whole long"
+
+
+def _parts(grid: int):
+    """Rows for stretches of at most ``grid`` starts, by their distance from the anchor.
+
+    ``core`` hashes the bytes that all strings of the stretch share, ``whole`` those that any has.
+    The core's place depends on the anchor alone, so equal strings have equal cores.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        power = inverse = np.ones(1, np.uint64)
+        for batch in small_batches(batches, 1 << 20):
+            out: list[list[np.ndarray]] = []
+            keys: list[bytes] = []
+            for row in batch.to_pylist():
+                data = np.frombuffer(row["text"].encode(), np.uint8)
+                if len(power) <= len(data):
+                    power, inverse = (_powers(x, 2 * len(data)) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+                total = np.zeros(len(data) + 1, np.uint64)
+                np.cumsum(_MIX[data] * power[: len(data)], out=total[1:])
+                found = row["found"]
+                anchor = np.array([c["anchor"] for c in found], np.int64)
+                name = np.array([c["name"] for c in found], np.int64)
+                first = np.array([c["first"] for c in found], np.int64)
+                last = np.array([c["last"] for c in found], np.int64)
+                low, high = (anchor - last) // grid, (anchor - first) // grid
+                n = high - low + 1
+                at = np.repeat(np.arange(len(found)), n)
+                part = low[at] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                near = anchor[at] - part * grid
+                far = near - grid + 1
+                begin, end = np.maximum(far, first[at]), np.minimum(near, last[at])
+
+                def digest(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                    return _mixed((total[j] - total[i]) * inverse[i]).view(np.int64)
+
+                core, whole = digest(near, far + LENGTH), digest(begin, end + LENGTH)
+                out.append([anchor[at], name[at], part, begin, end, core, whole])
+                keys += [row["key"]] * len(at)
+            if keys:
+                names = [x.split()[0] for x in PARTS.split(", ")]
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                columns = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), *columns], names)
+
+    return run
+
+
+def repeated_ranges(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, first, last): the starts of all 400-byte strings that occur again.
+
+    ``found`` has the candidates (key, anchor, name, first, last). Of each stretch of starts, all
+    repeat if its whole bytes do, none if its core doesn't; what is left between is looked at in
+    finer stretches, one row for all that have the same bytes, down to single strings.
+    """
+    ranges = None
+    for grid in GRIDS:
+        item = F.struct("anchor", "name", "first", "last")
+        asked = texts.select("key", "text").join(found.groupBy("key").agg(F.collect_list(item).alias("found")), "key")
+        rows = settle(asked.select("key", "text", "found").mapInArrow(_parts(grid), PARTS), f"suffix-parts-{grid}")
+        group = ["name", "part", "core"]
+        alive = _repeated(rows, group)
+        same = settle(
+            alive.groupBy(*group, "whole").agg(
+                F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "anchor", "first", "last")).alias("x")
+            ),
+            f"suffix-same-{grid}",
+        )
+        settled = rows.join(same.filter("n > 1").select(*group, "whole"), [*group, "whole"]).select("key", "first", "last")
+        ranges = settled if ranges is None else ranges.unionByName(settled)
+        if grid > 1:
+            open_groups = same.filter("n = 1").select(*group).distinct()
+            found = same.join(open_groups, group).select("x.*", F.xxhash64(*group).alias("name"))
+    return ranges
 
 
 RESULT = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -254,33 +292,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         buckets, "key"
     ).saveAsTable(name)
     texts = spark.table(name)
-    candidates = repeated_anchors(texts).groupBy("key").agg(F.collect_list(F.struct("idx", "name")).alias("found"))
-    contexts = settle(
-        texts.select("key", "text").join(candidates, "key").select("key", "text", "found").mapInArrow(_contexts, CONTEXT),
-        "suffix-contexts",
-    )
-    #: A context that occurs again settles all its starts; a single one is open.
-    spans = settle(
-        contexts.groupBy("name", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "first", "last")).alias("x")),
-        "suffix-spans",
-    )
-    settled = contexts.join(spans.filter("n > 1").select("name", "context"), ["name", "context"]).select("key", "first", "last")
-    several = spans.groupBy("name").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1")
-    wanted = (
-        spans.join(several.select("name"), "name")
-        .select("x.key", F.struct("x.first", "x.last", "name", (F.col("n") == 1).alias("open")).alias("c"))
-        .groupBy("key").agg(F.collect_list("c").alias("found"))
-    )
-    strings = settle(
-        texts.select("key", "text").join(wanted, "key").select("key", "text", "found").mapInArrow(
-            _strings, "key binary, name long, at int, h long, open boolean"
-        ),
-        "suffix-strings",
-    )
-    single = _repeated(strings, ["name", "h"]).filter("open").select(
-        "key", F.col("at").alias("first"), F.col("at").alias("last")
-    )
-    ranges = settled.unionByName(single).groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    ranges = repeated_ranges(texts, repeated_anchors(texts))
+    ranges = ranges.groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     result = settle(
         texts.join(ranges, "key", "left").select("key", "text", "copies", "ranges").mapInArrow(
             _cut(keep_text), RESULT + ", kept binary" * keep_text
