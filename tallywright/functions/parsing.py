@@ -110,14 +110,17 @@ def parse_measure(text: Column) -> Column:
     ``not_measured``, ``blocked`` and ``excluded``. None of these is a zero.
     """
     bare = F.trim(F.regexp_replace(text, r"\*\*|`|[¹²³⁴⁵⁶⁷⁸⁹⁰]", ""))
-    plain = F.regexp_replace(bare, r"([0-9]),([0-9]{3})", "$1$2")
+    plain = F.regexp_replace(bare, r"(?<=[0-9]),(?=[0-9]{3}(?![0-9]))", "")
     number = r"^([~≈≥≤<>+±]*)\s*(-?[0-9]+(?:\.[0-9]+)?)"
     value = _group(plain, number, 2).try_cast("double")
+    mark, bracket = _group(plain, number, 1), _group(plain, r"\(([^)]*)\)")
     return F.struct(
         value.alias("value"),
         _group(plain, number + r"\s*(%|[A-Za-zµ][A-Za-zµ/]*)", 3).alias("unit"),
         _group(plain, number + r"\s*/\s*([0-9]+)", 3).try_cast("double").alias("denominator"),
-        F.coalesce(_group(plain, r"\(([^)]*)\)"), _group(plain, number, 1)).alias("qualifier"),
+        F.when(bracket.isNull() | (F.coalesce(mark, F.lit("")) == ""), F.coalesce(bracket, mark))
+        .otherwise(F.concat(mark, F.lit(" "), bracket))
+        .alias("qualifier"),
         F.when(value.isNotNull(), "measured")
         .when(F.lower(plain).startswith("blocked"), "blocked")
         .when(F.lower(plain).startswith("excluded"), "excluded")
@@ -185,7 +188,7 @@ def shuffle_choices(doc_id: Column, choices: Column, correct: Column, seed: int)
     return F.struct(
         ordered.alias("choices"),
         F.concat(
-            F.lit("("), F.substring(F.lit("ABCDEFGHIJ"), place.cast("int"), F.lit(1)), F.lit(")")
+            F.lit("("), F.when(place > 0, F.chr(place + 64)).otherwise(""), F.lit(")")
         ).alias("answer"),
     )
 

@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallywright.operators.keys import join_on
+from tallywright.operators.running import running
 
 # Fixed value: memory kept free for the runtime, in GB.
 RUNTIME_RESERVE_GB = 5
 # Bytes per parameter by weight format.
 BYTES_PER_PARAM = {"NVFP4": 0.5, "MXFP4": 0.5, "INT4": 0.5, "FP8": 1.0, "INT8": 1.0,
                    "BF16": 2.0, "FP16": 2.0}
-# Host memory is compared in whole GB, so the class table can never exceed this.
-MAX_HOST_GB = 65536
 
 
 def rank_models(
@@ -99,34 +98,19 @@ def fits_memory(
 ) -> DataFrame:
     """For each model: how many hosts it fits and the smallest memory that holds it.
 
-    Memory is a whole number of GB, so ``need <= usable`` equals
-    ``ceil(need) <= usable`` and hosts fall into few memory classes. The classes
-    are laid out as a ladder with one row per whole GB, which turns the
-    inequality into an equi-join and leaves no pair of model and host to emit.
+    Models and hosts are put in one falling order of memory. A running count of hosts and the last
+    host met answer each model, so no pair is formed, sizes are compared as they are, and the order
+    is cut into chunks of one GB for the work. A model without a need fits nowhere.
     """
-    usable = F.least(F.floor(usable_gb), F.lit(MAX_HOST_GB)).cast("bigint")
-    classes = hosts.where(usable >= 0).groupBy(usable.alias("_gb")).agg(
-        F.count(F.lit(1)).alias("_hosts")
-    )
-    up = Window.partitionBy(F.lit(1)).orderBy("_gb")
-    down = Window.partitionBy(F.lit(1)).orderBy(F.col("_gb").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    stepped = classes.select(
-        "_gb",
-        F.coalesce(F.lag("_gb").over(up) + 1, F.lit(0)).cast("bigint").alias("_from"),
-        F.sum("_hosts").over(down).alias("n_hosts"),
-    )
-    ladder = stepped.select(
-        F.explode(F.sequence("_from", "_gb")).alias("_need"),
-        F.col("_gb").alias("smallest_fit_gb"),
-        "n_hosts",
-    )
-    asked = models.withColumn("_need", F.greatest(F.ceil(need_gb), F.lit(0)).cast("bigint"))
-    # At most MAX_HOST_GB + 1 rows of three numbers, so broadcasting it is safe.
-    return join_on(asked, F.broadcast(ladder), ["_need"], "left").drop("_need").withColumn(
-        "n_hosts", F.coalesce(F.col("n_hosts"), F.lit(0)).cast("bigint")
-    ).withColumn("fits", F.col("n_hosts") > 0)
+    asked = models.withColumns({"_x": -F.col(need_gb), "_side": F.lit(1)})
+    offered = hosts.where(F.col(usable_gb) >= 0).select((-F.col(usable_gb)).alias("_x"), F.lit(0).alias("_side"))
+    host = F.col("_side") == 0
+    placed = running(
+        asked.unionByName(offered, allowMissingColumns=True), [], ["_x", "_side"], F.floor("_x"),
+        sums={"n_hosts": F.when(host, 1).otherwise(0).cast("bigint")},
+        carries={"smallest_fit_gb": F.when(host, -F.col("_x"))},
+    )
+    return placed.where("_side = 1").drop("_x", "_side").withColumn("fits", F.col("n_hosts") > 0)
 
 
 def run_configs(metrics: DataFrame, run: str = "file") -> DataFrame:

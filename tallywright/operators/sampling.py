@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallywright.operators.keys import join_on
@@ -26,9 +27,11 @@ def seeded_sample(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
 def slice_bias(
     df: DataFrame, id_col: str, stratum: str, n: int, seed: int
 ) -> DataFrame:
-    """Composition of the first n items against a seeded sample of n."""
+    """Composition of the first n items against a seeded sample of n; of all items if fewer exist."""
+
     def mix(part: DataFrame, name: str) -> DataFrame:
-        return part.groupBy(stratum).agg((F.count(F.lit(1)) / F.lit(n)).alias(name))
+        counts = part.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.select(stratum, (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias(name))
 
     cols = df.select(id_col, stratum)
     first = mix(cols.orderBy(id_col).limit(n), "slice_share")

@@ -165,10 +165,12 @@ def overlap_contamination(
         ["_host"],
         ["t", "kind"],
         F.floor(F.col("t") / (chunk_seconds * 1_000_000)),
-        sums={f"c_{c}": F.col(c) for c in ("n_start", "n_end", "t_start", "t_end")},
+        sums={f"c_{c}": F.col(c) for c in ("n_start", "n_end")}
+        # Sums of microseconds since 1970 leave 64 bits after some 5,000 loads.
+        | {f"c_{c}": F.col(c).cast("decimal(20,0)") for c in ("t_start", "t_end")},
     )
     area = (
-        F.col("t") * (F.col("c_n_start") - F.col("c_n_end")) - F.col("c_t_start") + F.col("c_t_end")
+        F.col("t").cast("decimal(18,0)") * (F.col("c_n_start") - F.col("c_n_end")) - F.col("c_t_start") + F.col("c_t_end")
     )
     at = summed.where(F.col("kind") != 1).groupBy("_host", "_run").agg(
         F.max(F.when(F.col("kind") == 0, F.col("c_n_start"))).alias("_starts"),

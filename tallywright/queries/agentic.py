@@ -312,8 +312,8 @@ def seeded_sample(spark, sf_dir):
 
 
 @register("slice_bias", views("attempts", items="SELECT DISTINCT instance, repo FROM attempts",
-    first="SELECT repo, count(*) / 100 AS s FROM (SELECT * FROM items ORDER BY instance LIMIT 100) GROUP BY repo",
-    sampled="""SELECT repo, count(*) / 100 AS s FROM (SELECT * FROM items
+    first="SELECT repo, count(*) / sum(count(*)) OVER () AS s FROM (SELECT * FROM items ORDER BY instance LIMIT 100) GROUP BY repo",
+    sampled="""SELECT repo, count(*) / sum(count(*)) OVER () AS s FROM (SELECT * FROM items
     ORDER BY md5(instance || '|42'), instance LIMIT 100) GROUP BY repo""") + """
 SELECT coalesce(f.repo, s.repo) AS repo, round(coalesce(f.s, 0), 6) AS slice_share,
   round(coalesce(s.s, 0), 6) AS sample_share, round(coalesce(f.s, 0) - coalesce(s.s, 0), 6) AS bias

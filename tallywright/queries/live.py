@@ -9,7 +9,7 @@ from tallywright.queries.bindings import table, views
 from tallywright.queries.records import _progress_lines, _write_lines
 from tallywright.queries.registry import register, rounded
 from tallywright.streaming import health, metrics, verdicts
-from tallywright.streaming.run import all_rows, drain, latest_rows, read_stream
+from tallywright.streaming.run import all_rows, drain, final_rows, latest_rows, read_stream
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -176,8 +176,8 @@ def table_sessions(spark, sf_dir):
 
 @register("run_sessions", _RUNS + """
 SELECT host, strftime(a, '%Y-%m-%d %H:%M:%S') AS run_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS run_end, events
-FROM r WHERE b <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+FROM r""")
 def run_sessions(spark, sf_dir):
     runs = metrics.run_sessions(_events(spark, sf_dir), ["host"], gap="12 hours")
-    closed = all_rows(spark, drain(runs, "append"))
-    return closed.select("host", _at("run_start"), _at("run_end"), "events")
+    found = final_rows(spark, drain(runs, "complete"))
+    return found.select("host", _at("run_start"), _at("run_end"), "events")

@@ -231,9 +231,9 @@ def reconcile(spark, sf_dir):
 @register("fits_memory", """
 WITH models AS (SELECT p_partkey, p_size * CAST(CASE WHEN p_type IN ('ECONOMY', 'SMALL') THEN 0.5
     WHEN p_type IN ('STANDARD', 'MEDIUM') THEN 1.0 ELSE 2.0 END AS DOUBLE) + 5 AS need_gb FROM part),
-hosts AS (SELECT CAST(floor(s_acctbal / 80) AS BIGINT) AS usable FROM supplier)
+hosts AS (SELECT s_acctbal / 80 AS usable FROM supplier WHERE s_acctbal >= 0)
 SELECT p_partkey, round(need_gb, 1) AS need_gb,
-  (SELECT min(usable) FROM hosts WHERE usable >= need_gb) AS smallest_fit_gb,
+  (SELECT round(min(usable), 6) FROM hosts WHERE usable >= need_gb) AS smallest_fit_gb,
   (SELECT count(*) FROM hosts WHERE usable >= need_gb) AS n_hosts,
   (SELECT count(*) FROM hosts WHERE usable >= need_gb) > 0 AS fits
 FROM models""")
@@ -247,7 +247,7 @@ def fits_memory(spark, sf_dir):
         F.round(comparison.memory_need_gb(F.col("p_size").cast("double"), quant), 1).alias("need_gb"),
     )
     hosts = table(spark, sf_dir, "supplier").select((F.col("s_acctbal") / 80).alias("usable_gb"))
-    return comparison.fits_memory(models, hosts, "need_gb", "usable_gb")
+    return rounded(comparison.fits_memory(models, hosts, "need_gb", "usable_gb"), smallest_fit_gb=6)
 
 
 def _configs(spark, sf_dir):

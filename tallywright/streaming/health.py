@@ -13,21 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallywright.operators.running import running
-
-WATERMARK = "2 days"
+from tallywright.streaming.metrics import timed
 
 
 def wedge_detector(
     probes: DataFrame, host: str, ts: str, metadata_ok: Column, completion_ok: Column,
     completion_failed: Column, minutes: int = 30, slide_minutes: int | None = None,
-    watermark: str = WATERMARK,
+    watermark: str | None = None,
 ) -> DataFrame:
     """Windows of the given length in which no completion succeeded.
 
     A host is wedged in a window when completions failed, none succeeded, and
     the metadata endpoint still answered. Works on streams and on tables.
     """
-    rows = probes.withWatermark(ts, watermark) if probes.isStreaming else probes
+    rows = timed(probes, ts, watermark)
     width, slide = f"{minutes} minutes", f"{slide_minutes or minutes} minutes"
     windows = rows.groupBy(host, F.window(ts, width, slide).alias("w")).agg(
         F.count_if(completion_failed).alias("failures"),

@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from tallywright.operators.running import running, time_chunk
 
-WATERMARK = "2 days"
+
+def timed(samples: DataFrame, ts: str, watermark: str | None) -> DataFrame:
+    """The stream with a watermark, if one is wanted.
+
+    An archive is read in no order of time, so a watermark would drop the rows of every file that is
+    read after a newer one. Without it the state has a row per result, and late rows still count.
+    """
+    return samples.withWatermark(ts, watermark) if samples.isStreaming and watermark else samples
 
 
 def counter_rate(
     samples: DataFrame, keys: Sequence[str], ts: str = "ts", value: str = "value",
-    width: str = "1 hour", watermark: str = WATERMARK,
+    width: str = "1 hour", watermark: str | None = None,
 ) -> DataFrame:
     """Growth of a monotonic counter per tumbling window, reset-aware.
 
@@ -25,7 +32,7 @@ def counter_rate(
     as a lower bound, so windows should be short against the time between
     restarts. Works on streams and on tables alike.
     """
-    rows = samples.withWatermark(ts, watermark) if samples.isStreaming else samples
+    rows = timed(samples, ts, watermark)
     grouped = rows.groupBy(*keys, F.window(ts, width).alias("w")).agg(
         F.min_by(value, ts).alias("_first"),
         F.max_by(value, ts).alias("_last"),
@@ -53,10 +60,10 @@ def counter_rate(
 
 def idle_gate(
     samples: DataFrame, keys: Sequence[str], busy: Column, ts: str = "ts",
-    width: str = "2 hours", slide: str = "1 hour", watermark: str = WATERMARK,
+    width: str = "2 hours", slide: str = "1 hour", watermark: str | None = None,
 ) -> DataFrame:
     """Sliding windows in which nothing ran or waited."""
-    rows = samples.withWatermark(ts, watermark) if samples.isStreaming else samples
+    rows = timed(samples, ts, watermark)
     return (
         rows.groupBy(*keys, F.window(ts, width, slide).alias("w"))
         .agg(F.max(busy).alias("busiest"), F.count(F.lit(1)).alias("samples"))
@@ -85,10 +92,13 @@ def instant_vs_sustained(
 
 def run_sessions(
     activity: DataFrame, keys: Sequence[str], ts: str = "ts", gap: str = "1 day",
-    watermark: str = WATERMARK,
+    watermark: str | None = None,
 ) -> DataFrame:
-    """Group activity into runs separated by a gap of inactivity."""
-    rows = activity.withWatermark(ts, watermark) if activity.isStreaming else activity
+    """Group activity into runs separated by a gap of inactivity.
+
+    Without a watermark a stream of runs is written in complete mode and holds open runs as well.
+    """
+    rows = timed(activity, ts, watermark)
     return (
         rows.groupBy(*keys, F.session_window(ts, gap).alias("w"))
         .agg(F.count(F.lit(1)).alias("events"))

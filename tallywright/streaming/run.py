@@ -51,6 +51,13 @@ def drain(
     return out
 
 
+def final_rows(spark: SparkSession, out: str) -> DataFrame:
+    """What a complete-mode stream wrote last; a batch without input changes nothing."""
+    rows = spark.read.parquet(out)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.filter(F.col("batch") == last).drop("batch")
+
+
 def all_rows(spark: SparkSession, out: str) -> DataFrame:
     """Everything an append-mode stream wrote."""
     return spark.read.parquet(out).drop("batch")

@@ -31,9 +31,15 @@ def progress_stream(frames: DataFrame, run: Column) -> DataFrame:
 
 
 def ingest_results(
-    results: DataFrame, keys: Sequence[str], ts: str, watermark: str = "2 days"
+    results: DataFrame, keys: Sequence[str], ts: str, watermark: str | None = None
 ) -> DataFrame:
-    """New result rows, each key once; state is bounded by the watermark."""
+    """New result rows, each key once.
+
+    The state holds every key, so that no row of an archive is late; a watermark bounds it to recent
+    keys, for streams whose rows come in order of time.
+    """
+    if not watermark:
+        return results.dropDuplicates(list(keys))
     return results.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 

@@ -108,6 +108,34 @@ def test_overlaps_match_brute_force(spark):
             assert r.n_overlaps == len(spans) + len(points)
 
 
+def test_overlap_of_ten_thousand_loads_at_once(spark):
+    times = "timestamp'2030-01-01 00:00:00' AS s", "timestamp'2030-01-01 01:00:00' AS e"
+    loads = spark.range(10_000).selectExpr("'x' AS host", "id", *times)
+    runs = spark.range(1).selectExpr("'x' AS host", "id", *times)
+    row = throughput.overlap_contamination(runs, loads, "host", "id", "s", "e").first()
+    assert row.n_overlaps == 10_000 and row.overlap_s == 36_000_000.0
+
+
+def test_measures_with_many_separators_and_marks(spark):
+    cells = ["1,234,567", "~2,345,678", "~709 (c≈256)", "1,2345", "12,345.5 ms"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string").select(parsing.parse_measure(F.col("c")).alias("m"))
+    got = [(r.m.value, r.m.qualifier) for r in df.collect()]
+    assert got[0][0] == 1234567 and got[1] == (2345678, "~") and got[2] == (709, "~ c≈256")
+    assert got[3][0] == 1 and got[4][0] == 12345.5
+
+
+def test_twelve_choices_have_letters(spark):
+    choices = F.array(*[F.lit(f"c{i}") for i in range(12)])
+    rows = [spark.range(1).select(parsing.shuffle_choices(F.lit(5), choices, F.lit(f"c{i}"), 1).alias("s")).first().s.answer for i in range(12)]
+    assert sorted(rows) == [f"({x})" for x in "ABCDEFGHIJKL"]
+
+
+def test_slice_shares_of_few_items_add_up(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(5)], "i int, s string")
+    got = {r.s: r.slice_share for r in sampling.slice_bias(df, "i", "s", 100, 1).collect()}
+    assert got == {"a": 0.6, "b": 0.4}
+
+
 def test_peak_concurrency_matches_brute_force(spark):
     rng = random.Random(5)
     base = pd.Timestamp("2030-01-01")
@@ -220,11 +248,12 @@ def test_champion_ignores_missing_scores(spark):
 
 def test_memory_fit_matches_brute_force(spark):
     rng = random.Random(8)
-    needs, hosts = [rng.uniform(0, 130) for _ in range(80)], [rng.uniform(-5, 120) for _ in range(40)]
+    needs = [rng.uniform(0, 130) for _ in range(80)] + [100.5, 80_000.0, 60_000.0, 0.0]
+    hosts = [rng.uniform(-5, 120) for _ in range(40)] + [100.7, 100_000.0, 100.5]
     m = spark.createDataFrame([(i, x) for i, x in enumerate(needs)], "i int, need double")
     h = spark.createDataFrame([(x,) for x in hosts], "gb double")
     for r in comparison.fits_memory(m, h, "need", "gb").collect():
-        fit = [int(np.floor(x)) for x in hosts if x >= 0 and np.floor(x) >= needs[r.i]]
+        fit = [x for x in hosts if x >= needs[r.i]]
         assert r.n_hosts == len(fit) and r.smallest_fit_gb == (min(fit) if fit else None)
         assert r.fits == bool(fit)
 

@@ -107,7 +107,7 @@ def test_late_segment_does_not_undo_a_newer_verdict(spark):
 def test_sessions_close_after_the_gap(spark):
     rows = [sample(0, 0), sample(5, 0), sample(100, 0), sample(100, 1)]
     later = [sample(60 * 24 * 4, 0)]
-    runs = metrics.run_sessions(feed(spark, SAMPLES, rows, later), ["host"], gap="30 minutes")
+    runs = metrics.run_sessions(feed(spark, SAMPLES, rows, later), ["host"], gap="30 minutes", watermark="2 days")
     closed = all_rows(spark, drain(runs, "append")).orderBy("run_start").collect()
     table = metrics.table_sessions(spark.createDataFrame(rows, SAMPLES), ["host"], gap_seconds=1800)
     assert table.select("host", "run_start", "run_end", "events").orderBy("run_start").collect() == closed
@@ -132,3 +132,22 @@ def test_parse_progress_accepts_both_counter_orders(spark):
 def test_drain_replays_into_the_same_folder(spark, mode):
     stream = feed(spark, SAMPLES, [sample(0, 1)], [sample(1, 2)])
     assert all_rows(spark, drain(stream, mode)).count() == 2
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ingest_results_stream", "wedge_detector", "counter_rate", "idle_gate", "instant_vs_sustained", "run_sessions"],
+)
+def test_archive_of_many_files_is_complete(spark, sf, name):
+    """200 files in no order of time: several batches, nothing late, open runs included."""
+    import os
+
+    from tallywright.queries.catalogue import QUERIES, SQL
+    from tallywright.workspace import shared_dir
+    from tests.compare import difference, duck
+
+    folder = shared_dir(spark, "archive")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(200, "event_id").write.option("compression", "none").parquet(f"{folder}/events.parquet")
+    assert sum(f.startswith("part-") for f in os.listdir(f"{folder.removeprefix('file://')}/events.parquet")) > 128
+    assert difference(QUERIES[name](spark, folder), duck(sf), SQL[name]) is None
