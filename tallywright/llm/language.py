@@ -39,6 +39,8 @@ def buckets(text: str) -> Iterator[np.ndarray]:
 def codewords(n: int) -> np.ndarray:
     """A row of +1 and -1 per class: every split of up to seven classes, else 16 log2(n) random
     balanced columns, the best of 50 draws by least distance between two classes."""
+    if n <= 1:
+        return np.zeros((n, 0), np.int64)
     if n <= 7:
         splits = [[1 if c == 0 or (s >> (c - 1)) & 1 else -1 for c in range(n)] for s in range((1 << max(n - 1, 0)) - 1)]
         return np.array(splits, np.int64).reshape(-1, n).T

@@ -153,11 +153,11 @@ steps AS (
   SELECT CAST(floor(score * 100) AS BIGINT) AS step, count(*) FILTER (WHERE kind = 1) AS a,
     count(*) FILTER (WHERE kind = -1) AS r FROM scored WHERE kind <> 0 GROUP BY 1),
 errors AS (
-  SELECT step, round(coalesce(sum(a) OVER below, 0) / nullif(sum(a) OVER (), 0) + 1
+  SELECT step, coalesce(lag(step) OVER (ORDER BY step) + 1, step) AS low, round(coalesce(sum(a) OVER below, 0) / nullif(sum(a) OVER (), 0) + 1
     - coalesce(sum(r) OVER below, 0) / nullif(sum(r) OVER (), 0), 9) AS e
   FROM steps WINDOW below AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 cut AS (
-  SELECT coalesce((SELECT step / 100 FROM errors WHERE e IS NOT NULL ORDER BY e, abs(step), step LIMIT 1), 0) AS cut)
+  SELECT coalesce((SELECT (step + low) / 200 FROM errors WHERE e IS NOT NULL ORDER BY e, abs(step), step LIMIT 1), 0) AS cut)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ({allow}) THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
     WHEN coalesce(score, 0) >= cut THEN 'allow' ELSE 'block' END AS verdict

@@ -105,10 +105,10 @@ def language_models(grams: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> DataFrame:
-    """One row (cut): the hundredth that parts (score, accepted) rows with the least balanced error.
+    """One row (cut): where (score, accepted) rows part with the least balanced error.
 
-    Scores are counted in steps of a hundredth, about 2,000 rows at most whatever the input;
-    ties go to the cut nearest 0. Without rows of both kinds the cut is 0.
+    Scores are counted in steps of a hundredth, about 2,000 rows at most whatever the input. The cut
+    is the middle of the gap below a step; ties go to the step nearest 0. Without rows of both kinds the cut is 0.
     """
     steps = scored.groupBy(F.floor(F.col("score") * 100).alias("step")).agg(
         F.count_if("accepted").alias("a"), F.count_if(~F.col("accepted")).alias("r")
@@ -118,10 +118,11 @@ def threshold(scored: DataFrame) -> DataFrame:
     lost = F.coalesce(F.sum("a").over(below), F.lit(0)) / F.sum("a").over(every)
     passed = 1 - F.coalesce(F.sum("r").over(below), F.lit(0)) / F.sum("r").over(every)
     error = F.round(lost + passed, 9)
-    best = steps.select("step", error.alias("e")).filter("e is not null").agg(
-        F.min(F.struct("e", F.abs("step").alias("far"), "step")).alias("best")
+    gap = F.coalesce(F.lag("step").over(W.orderBy("step")) + 1, F.col("step"))
+    best = steps.select("step", error.alias("e"), gap.alias("from")).filter("e is not null").agg(
+        F.min(F.struct("e", F.abs("step").alias("far"), "step", "from")).alias("best")
     )
-    return best.select(F.coalesce(F.col("best.step") / 100, F.lit(0.0)).alias("cut"))
+    return best.select(F.coalesce((F.col("best.step") + F.col("best.from")) / 200, F.lit(0.0)).alias("cut"))
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
