@@ -119,7 +119,7 @@ BLOCKS = (
 )
 
 
-def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT) -> None:
+def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT, block_ids: int = BLOCK_IDS) -> None:
     """Write all rows of ``tokens`` (doc_id, width, ids; a written table) in order of doc_id.
 
     Rows that share a doc_id follow each other by length and content, those without one come first.
@@ -164,7 +164,7 @@ def write_ids(tokens: DataFrame, folder: str, limit: int = LIMIT) -> None:
                 docs.append(doc)
                 each.append(found)
                 size += len(found)
-                if size >= BLOCK_IDS:
+                if size >= block_ids:
                     yield close()
                     size = 0
         if docs:

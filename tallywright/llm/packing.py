@@ -99,7 +99,9 @@ PIECES = (
 )
 
 
-def pack(tokens: DataFrame, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
+def pack(
+    tokens: DataFrame, window: int = WINDOW, keep_ids: bool = False, shard_ids: int = SHARD_IDS
+) -> DataFrame:
     """Pieces of all rows of ``tokens`` (a written table of :func:`tokens.tokenise`) in sequences.
 
     A document's full windows are sequences of their own; its rest is open. Rows are sorted by
@@ -161,7 +163,7 @@ def pack(tokens: DataFrame, window: int = WINDOW, keep_ids: bool = False) -> Dat
                 if whole < len(ids):
                     open_pieces.append((doc, whole, ids[whole:], len(ids)))
                     size += len(ids) - whole
-                if size >= SHARD_IDS:
+                if size >= shard_ids:
                     open_pieces = fill(open_pieces)
                     size = sum(len(p[2]) for p in open_pieces)
                 if len(rows) >= 4096:

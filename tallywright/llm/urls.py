@@ -77,7 +77,7 @@ def language_models(grams: DataFrame) -> DataFrame:
     end stands an even chance for every character seen and one unseen.
     """
     last = F.substr("gram", F.lit(ORDER))
-    even = grams.agg(F.count_distinct(last).alias("k")).select((1.0 / (F.col("k") + 1)).alias("even"))
+    even = F.lit(1.0 / (grams.agg(F.count_distinct(last).alias("k")).first()["k"] + 1))
     smooth = None
     for k in range(1, ORDER + 1):
         counts = grams.groupBy(F.substr("gram", F.lit(ORDER + 1 - k)).alias("s")).agg(
@@ -91,7 +91,7 @@ def language_models(grams: DataFrame) -> DataFrame:
         )
         joined = counts.join(totals, "ctx")
         if smooth is None:
-            joined = joined.join(F.broadcast(even)).withColumns({"qa": F.col("even"), "qr": F.col("even")})
+            joined = joined.withColumns({"qa": even, "qr": even})
         else:
             shorter = smooth.select(F.col("s").alias("tail"), F.col("pa").alias("qa"), F.col("pr").alias("qr"))
             joined = joined.withColumn("tail", F.substr("s", F.lit(2))).join(shorter, "tail")

@@ -69,10 +69,9 @@ def written(spark, docs):
     return settle(tokens.tokenise(docs, PATH, 1), "test-ids")
 
 
-def test_files_give_back_every_id(spark, encoder, monkeypatch):
-    monkeypatch.setattr(huffman, "BLOCK_IDS", 3_000)
+def test_files_give_back_every_id(spark, encoder):
     folder = shared_dir(spark, "test-files")
-    huffman.write_ids(written(spark, edge_frame(spark)), folder)
+    huffman.write_ids(written(spark, edge_frame(spark)), folder, block_ids=3)
     got = sorted(huffman.read_ids(spark, folder, keep_ids=True).collect(), key=lambda r: r["start"])
     want = sorted((r[0] is not None, r[0] or 0) for r in edge_rows())
     assert [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got] == want
@@ -91,12 +90,11 @@ def test_files_of_no_rows(spark):
     assert huffman.read_ids(spark, folder).count() == 0
 
 
-def test_packing_covers_every_id_once(spark, encoder, monkeypatch):
-    monkeypatch.setattr(packing, "SHARD_IDS", 20_000)
+def test_packing_covers_every_id_once(spark, encoder):
     rng = random.Random(3)
     extra = [(100 + i, prose(rng, rng.randint(1, 700)), "en", "a", 1, *edge_rows()[0][5:]) for i in range(60)]
     docs = spark.createDataFrame(edge_rows() + extra, edge_frame(spark).schema)
-    rows = packing.pack(written(spark, docs), keep_ids=True).collect()
+    rows = packing.pack(written(spark, docs), keep_ids=True, shard_ids=20_000).collect()
     sequences = defaultdict(list)
     for r in rows:
         assert r["ids_crc32"] == zlib.crc32(r["ids"]) and len(r["ids"]) == 4 * r["length"] and r["length"] > 0
