@@ -112,7 +112,7 @@ def test_claims(spark, fixtures):
     got = {(r.model, r.metric): r for r in c.collect()}
     assert len(got) == 9
     peak = got["lab/net-a", "Peak tok/s"]
-    assert (peak.value, peak.qualifier, peak.line) == (1709.0, "c=128, capped", 5)
+    assert (peak.value, peak.qualifier, peak.line) == (1709.0, "~ c=128, capped", 5)
     assert (got["lab/net-a", "GSM"].value, got["lab/net-a", "GSM"].unit) == (97.19, "%")
     assert (got["lab/net-a", "Runs"].value, got["lab/net-a", "Runs"].denominator) == (29.0, 30.0)
     assert got["lab/net-a", "Note"].value == 66.9
