@@ -8,7 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import xxhash
-from tallywright.llm import graph, simhash, suffixes, vectors
+from tallywright.llm import copies, graph, simhash, suffixes, vectors
 from tests.llm.cases import edge_frame, edge_rows, no_rows, prose
 
 
@@ -196,3 +196,47 @@ def test_removal_edges(spark):
     assert sorted((tuple(r)[:5] for r in got), key=str) == plain_removal(rows)
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
     assert suffixes.remove_repeats(no_rows(spark)).count() == 0
+
+
+def near_copies() -> list[tuple]:
+    """Texts of 204 words, so of 200 shingles; a changed word far from others changes five."""
+    rng = random.Random(9)
+    rows = []
+    for group in range(6):
+        base = prose(rng, 204).split()
+        rows.append((100 * group, " ".join(base)))
+        for n in (1, 2, 3, 4, 6, 9):
+            words = list(base)
+            for k in range(n):
+                words[10 + 20 * k] = f"Other{group}x{n}x{k}"
+            rows.append((100 * group + n, " ".join(words)))
+    return rows
+
+
+def test_near_copies_go_at_jaccard_of_four_fifths(spark):
+    rows = near_copies()
+    sets = {i: set(copies.shingles(t)) for i, t in rows}
+    near = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert all((g, g + n) in near for g in range(0, 600, 100) for n in (1, 2, 3, 4)) and not any(b % 100 > 4 for _, b in near)
+    far = [(a, b) for a, b in near if (simhash.fingerprint(rows[0][1] if a == 0 else dict(rows)[a]) ^ simhash.fingerprint(dict(rows)[b])).bit_count() > 2]
+    assert len(far) > len(near) / 2
+    extra = [(900 + i, t.upper()) for i, (_, t) in enumerate(rows)] + [(None, rows[0][1]), (990, ""), (991, None)]
+    frame = spark.createDataFrame(rows + extra, "doc_id long, text string")
+    left = sorted(str(r["doc_id"]) for r in copies.one_of_each(frame).collect())
+    assert left == sorted(map(str, [g + n for g in range(0, 600, 100) for n in (0, 6, 9)] + [None, 990]))
+
+
+def test_unlike_texts_of_a_bucket_are_all_judged(spark, monkeypatch):
+    monkeypatch.setattr(copies, "bands", lambda grams: [1])
+    rows = near_copies()
+    left = [r["doc_id"] for r in copies.one_of_each(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()]
+    assert sorted(left) == [g + n for g in range(0, 600, 100) for n in (0, 6, 9)]
+
+
+def test_near_copies_edges(spark):
+    docs = edge_frame(spark)
+    kept = copies.one_of_each(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert ids.count(None) == 1 and ids.count(10) == 1 and 1 not in ids and 8 not in ids and 0 in ids
+    assert copies.one_of_each(no_rows(spark)).count() == 0
