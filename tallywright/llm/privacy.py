@@ -79,8 +79,74 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out)
 
 
+GROUP = re.compile(r"[0-9]+")
+GROUPED = re.compile(r"[0-9]{4,}(?:[\x20-][0-9]+)+")
+
+
+def grouped_cards(text: str) -> list[tuple[int, int]]:
+    """Cards in groups, also beside other numbers: each run of groups is cut where most digits are in cards.
+
+    All groups of a card but the last have at least four digits.
+    """
+    out: list[tuple[int, int]] = []
+    for run in CARD.finditer(text):
+        groups = [m.span() for m in GROUP.finditer(text, *run.span())] if run.end() - run.start() > 14 else []
+        if len(groups) < 2:
+            continue
+        #: (digits covered, cards, first group of the last card or -1) by groups passed.
+        best: list[tuple[int, int, int]] = [(0, 0, -1)]
+        for j in range(len(groups)):
+            found, digits = (*best[j][:2], -1), ""
+            for i in range(j, -1, -1):
+                a, b = groups[i]
+                if (i < j and b - a < 4) or b - a + len(digits) > 19:
+                    break
+                digits = text[a:b] + digits
+                if (i == j or b - a >= 4) and is_card(digits):
+                    found = max(found, (best[i][0] + len(digits), best[i][1] + 1, i))
+            best.append(found)
+        own, j = [], len(groups)
+        while j:
+            i = best[j][2]
+            if 0 <= i < j - 1:
+                own.append((groups[i][0], groups[j - 1][1]))
+            j = i if i >= 0 else j - 1
+        out += own[::-1]
+    return out
+
+
 def pieces(text: str) -> list[tuple[int, int]]:
-    """The nodes: runs of address and number characters, trimmed, with a digit or ``@``."""
+    """The nodes: runs of address and number characters, trimmed, with a digit or ``@``; a card in groups is one."""
+    cards = grouped_cards(text)
+    if not cards:
+        return _words(text)
+    out, k = [], 0
+    for a, b in _words(text):
+        while k < len(cards) and cards[k][1] <= a:
+            out.append(cards[k])
+            k += 1
+        i = k
+        while i < len(cards) and cards[i][0] < b:  # what is left of a word outside its cards
+            out += _trimmed(text, a, cards[i][0])
+            a = max(a, cards[i][1])
+            if a > b:
+                break
+            out.append(cards[i])
+            i += 1
+            k = i
+        out += _trimmed(text, a, b)
+    return out + cards[k:]
+
+
+def _trimmed(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    while a < b and text[a] in EDGE_LEFT:
+        a += 1
+    while a < b and text[b - 1] in EDGE_RIGHT:
+        b -= 1
+    return [(a, b)] if SIGN.search(text, a, b) else []
+
+
+def _words(text: str) -> list[tuple[int, int]]:
     out = []
     found = SIGN.search(text)
     while found:
@@ -91,13 +157,7 @@ def pieces(text: str) -> list[tuple[int, int]]:
         end = blank.start() if blank else len(text)
         for m in PIECE.finditer(text, start, end):
             if SIGN.search(m.group()):
-                a, b = m.span()
-                while a < b and text[a] in EDGE_LEFT:
-                    a += 1
-                while a < b and text[b - 1] in EDGE_RIGHT:
-                    b -= 1
-                if SIGN.search(text, a, b):
-                    out.append((a, b))
+                out += _trimmed(text, *m.span())
         found = SIGN.search(text, end)
     return out
 
@@ -121,6 +181,8 @@ def features(text: str, nodes: list[tuple[int, int]]) -> tuple[np.ndarray, np.nd
     for i, (a, b) in enumerate(nodes):
         t = text[a : min(b, a + NODE_BYTES)]
         digits = NOT_DIGIT.sub("", t)
+        if GROUPED.fullmatch(t) and is_card(digits):
+            t = digits
         joined = a - last <= 1
         size = len(digits)
         flags = (
@@ -280,11 +342,12 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = 300) -> Field:
 def added_spans(text: str, nodes: list[tuple[int, int]], chance: np.ndarray, base: list[Span], least: float = 0.9) -> list[Span]:
     """Nodes whose likeliest label is a kind, with at least that chance, outside all base spans.
 
-    Neighbouring phone and card pieces make one span, which must have as many digits as its kind.
+    Neighbouring phone pieces make a run, which is cut into spans that have as many digits as a phone.
+    Cards in groups are single nodes, see :func:`pieces`.
     """
     best = chance.argmax(axis=1)
     taken = sorted((a, b) for a, _, b in base)
-    out: list[Span] = []
+    runs: list[tuple[int, list[tuple[int, int]]]] = []
     i = 0
     for k, (a, b) in enumerate(nodes):
         while i < len(taken) and taken[i][1] <= a:
@@ -292,20 +355,49 @@ def added_spans(text: str, nodes: list[tuple[int, int]], chance: np.ndarray, bas
         if not best[k] or chance[k, best[k]] < least or (i < len(taken) and taken[i][0] < b):
             continue
         kind = int(best[k]) - 1
-        if out and kind == 3 and out[-1][1] == 3 and a - out[-1][2] <= 1 and text[a] != "+":
-            out[-1] = (out[-1][0], kind, b)
+        if runs and kind == 3 and runs[-1][0] == 3 and a - runs[-1][1][-1][1] <= 1 and text[a] != "+":
+            runs[-1][1].append((a, b))
         else:
-            out.append((a, kind, b))
-    return [s for s in out if _plausible(text[s[0] : s[2]], s[1])]
+            runs.append((kind, [(a, b)]))
+    return [s for kind, run in runs for s in _cut(text, kind, run)]
+
+
+def _cut(text: str, kind: int, run: list[tuple[int, int]]) -> list[Span]:
+    """The plausible spans of consecutive pieces of a run that cover most digits, of these the most spans."""
+    if len(run) == 1:
+        return [(a, kind, b) for a, b in run if _plausible(text[a:b], kind)]
+    least, most = DIGITS[kind]
+    counts = [len(NOT_DIGIT.sub("", text[a:b])) for a, b in run]
+    #: (digits covered, spans, first piece of the last span or -1) by pieces passed.
+    best: list[tuple[int, int, int]] = [(0, 0, -1)]
+    for j in range(len(run)):
+        found, digits = (*best[j][:2], -1), 0
+        for i in range(j, max(-1, j - most), -1):
+            digits += counts[i]
+            if digits > most:
+                break
+            if digits >= least:
+                found = max(found, (best[i][0] + digits, best[i][1] + 1, i))
+        best.append(found)
+    out: list[Span] = []
+    j = len(run)
+    while j:
+        i = best[j][2]
+        if i >= 0:
+            out.append((run[i][0], kind, run[j - 1][1]))
+        j = i if i >= 0 else j - 1
+    return out[::-1]
+
+
+DIGITS = {2: (14, 19), 3: (10, 15)}
 
 
 def _plausible(t: str, kind: int) -> bool:
-    digits = len(NOT_DIGIT.sub("", t))
     if kind == 0:
         return "@" in t
     if kind == 1:
         return t.count(".") == 3
-    return 14 <= digits <= 19 if kind == 2 else 10 <= digits <= 15
+    return DIGITS[kind][0] <= len(NOT_DIGIT.sub("", t)) <= DIGITS[kind][1]
 
 
 def written(spans: list[Span]) -> str:

@@ -7,6 +7,7 @@ import random
 import re
 import time
 
+import numpy as np
 import pytest
 from tallywright.llm import language, privacy, quality, urls
 from tests.llm.cases import edge_frame, edge_rows, no_rows, prose
@@ -194,3 +195,53 @@ def test_masking_keeps_rows_and_columns(spark):
     assert rows[0]["text"] == "[EMAIL] [PHONE]" and rows[0]["n_chars"] == 15
     assert masked.filter("doc_id = 0").first()["text"] is None
     assert privacy.find_personal(no_rows(spark), privacy.fit(no_rows(spark))).count() == 0
+
+
+CARDS = ["4111 1111 1111 1111", "5500 0000 0000 0004", "3400-0000-0000-009", "6011 0000 0000 0004"]
+
+
+def grouped_docs(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(200):
+        rows.append((i, f"{prose(rng, 9)} {CARDS[i % 4]} {prose(rng, 5)} me{i}@mail.org {prose(rng, 4)} +1 (743) 555-38{i % 90 + 10} at 10.1.2.{i}"))
+    beside = [f"{CARDS[0]} {CARDS[1]}", f"{CARDS[0]} 12 26", f"{CARDS[1]} 123", f"{CARDS[3]} {CARDS[0]} {CARDS[1]}"]
+    rows += [(900 + k, f"{prose(rng, 5)} {t} {prose(rng, 6)}") for k, t in enumerate(beside)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), beside
+
+
+def test_cards_in_groups_beside_numbers_are_found(spark):
+    docs, beside = grouped_docs(spark)
+    model = privacy.fit(docs)
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = {r["doc_id"]: r["spans"] for r in privacy.find_personal(docs, model).collect()}
+    for k, t in enumerate(beside):
+        assert not any(kind == 2 for _, kind, _ in plain_spans(text[900 + k]))
+        for card in CARDS:
+            if card in t:
+                at = text[900 + k].index(card)
+                assert f"card:{at}:{at + len(card)}" in found[900 + k].split(",")
+    masked = {r["doc_id"]: r["text"] for r in privacy.mask_personal(docs, model).collect()}
+    assert "[CARD] [CARD]" in masked[900] and "1111" not in masked[901] + masked[902] + masked[903]
+
+
+def sure(text: str, kind: int) -> list[tuple]:
+    nodes = privacy.pieces(text)
+    chance = [[float(k == kind + 1) for k in range(5)] for _ in nodes]
+    return [(text[a:b], k) for a, k, b in privacy.added_spans(text, nodes, np.array(chance).reshape(-1, 5), [])]
+
+
+def test_runs_are_cut_by_digits_and_luhn():
+    def cards(text):
+        return [text[a:b] for a, b in privacy.grouped_cards(text)]
+
+    assert cards(f"{CARDS[0]} {CARDS[1]}") == CARDS[:2] and cards(f"77 {CARDS[0]} 12 26") == [CARDS[0]]
+    assert cards("4111 1111 1111 1112") == [] and cards("4111111111111111 5500005555555559") == []
+    assert cards(f"{CARDS[2]} {CARDS[0]}-12") == [CARDS[2], CARDS[0]]
+    text = f"a-{CARDS[2]}-12 {CARDS[0]} x"
+    assert [text[a:b] for a, b in privacy.pieces(text)] == [CARDS[2], "12", CARDS[0]]
+    assert sure("743 555 3824 212 555 1234", 3) == [("743 555 3824", 3), ("212 555 1234", 3)]
+    assert sure("+1 (743) 555-3824", 3) == [("+1 (743) 555-3824", 3)] and sure("555 3824", 3) == []
+    for text in (f"{CARDS[0]} " * 20_000, "1 " * 200_000, "1-" * 200_000, "1111 " * 80_000):
+        start = time.perf_counter()
+        assert len(privacy.pieces(text)) >= 1 and time.perf_counter() - start < 20
