@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import huffman, language, mixing, packing, privacy, quality, simhash, suffixes, tokens, urls, vectors
+from tallywright.llm import alignment, huffman, language, mixing, packing, privacy, quality, simhash, suffixes, tokens, urls, vectors
 from tallywright.workspace import settle, shared_dir
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -171,3 +171,9 @@ SQL["op3_url_filter"] = url_sql()
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return privacy.find_personal(docs, privacy.fit(docs))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.align_tokenizers(docs, *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")))
