@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallywright.llm import alignment, decontamination, huffman, language, mixing, packing, privacy, quality, simhash, suffixes, tokens, urls, vectors
+from tallywright.llm import alignment, decontamination, huffman, language, mixing, packing, privacy, quality, ranking, simhash, suffixes, tokens, urls, vectors
 from tallywright.workspace import settle, shared_dir
 
 VOCABULARY, END_ID = "word_bpe_49k.json", 1
@@ -203,3 +203,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op13_ranked_search"] = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
+stats AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS N, CAST(sum(len(w)) AS BIGINT) AS L FROM docs),
+counts AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) GROUP BY r, t),
+terms AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counts, stats GROUP BY t, N),
+items AS (SELECT i, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, item_id, {TERMS} AS w FROM benchmark)),
+sizes AS (SELECT r, doc_id, 100 - 75 + ((75 * CAST(len(w) AS BIGINT) * N) // L) AS m FROM docs, stats),
+scores AS (
+  SELECT i, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM items JOIN terms USING (t) JOIN counts USING (t) JOIN sizes USING (r) GROUP BY i, item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id, r) AS rank FROM scores WHERE score > 0)
+WHERE rank <= 10"""

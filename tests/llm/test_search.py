@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
-from tallywright.llm import decontamination
+from tallywright.llm import decontamination, ranking
 from tests.llm.cases import edge_frame, edge_rows, no_rows, prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -105,3 +106,64 @@ def test_searcher_finds_every_occurrence(block, monkeypatch):
     start, string = decontamination.Searcher(strings).occurrences(np.frombuffer(text, np.uint8))
     want = {(k, j) for j, s in enumerate(strings) for k in range(len(text)) if text.startswith(s, k)}
     assert set(zip(start.tolist(), string.tolist())) == want and len(start) == len(want)
+
+
+def plain_ranks(docs: list[tuple], items: list[tuple], top: int = 10) -> list[tuple]:
+    each = [(doc, Counter(words(text))) for doc, text in docs]
+    sizes = [sum(c.values()) for _, c in each]
+    n_docs, n_terms = sum(n > 0 for n in sizes), sum(sizes)
+    df = Counter(t for _, c in each for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for row, (doc, c) in enumerate(each):
+            score = 0
+            for t in words(text):
+                if tf := c[t]:
+                    w = math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1)))
+                    score += w * ((10**9 * tf) // (1000 * tf + 8 * (25 + (75 * sizes[row] * n_docs) // n_terms)))
+            if score > 0:
+                scores.append((-score, doc is None, doc or 0, row))
+        for rank, (score, none, doc, _) in enumerate(sorted(scores)[:top], 1):
+            out.append((str(item), rank, None if none else doc, -score))
+    return sorted(out, key=repr)
+
+
+def rank_case() -> tuple[list[tuple], list[tuple]]:
+    rng = random.Random(3)
+    vocabulary = prose(rng, 150, "abcdé9").split()
+    usual = lambda n: " ".join(rng.choice(vocabulary[: rng.choice([3, 20, 150])]) for _ in range(n))
+    docs = [(r[0], r[1]) for r in edge_rows()] + [(100 + k, usual(rng.randint(0, 70))) for k in range(500)]
+    docs += [(700 + k, "Same Words, tied") for k in range(30)] + [(None, "same words tied"), (3, "same words tied"), (3, "same words tied")]
+    items = [(k, usual(rng.randint(1, 40))) for k in range(25)] + [(30, "same words"), (31, None), (32, ""), (33, "zzzunknown"), (30, "tied tied")]
+    return docs, [*items, (None, vocabulary[0]), (34, "word a two")]
+
+
+def test_ranks_equal_brute_force(spark, monkeypatch):
+    docs, items = rank_case()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_ranks(docs, items)
+
+    def got(**options):
+        found = ranking.rank_documents(frame, tests, **options)
+        return sorted([(str(r[0]), *r[1:]) for r in found.collect()], key=repr)
+
+    assert got() == want
+    monkeypatch.setattr(ranking, "ENTRIES", 1000)  # many blocks
+    monkeypatch.setattr(ranking, "BUNDLE", 4)
+    assert got(stages=7) == want
+    assert got(top=3, stages=1) == plain_ranks(docs, items, 3)
+    monkeypatch.setattr(ranking, "ITEMS_AT_ONCE", 12)  # several passes
+    assert got() == want
+
+
+def test_ranks_of_odd_tables(spark):
+    docs, items = rank_case()
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    assert ranking.rank_documents(no_rows(spark), tests).count() == 0
+    assert ranking.rank_documents(edge_frame(spark), tests.filter("false")).count() == 0
+    named = spark.createDataFrame([("x", "two words", 1, "r")], "item_id string, text string, rank int, score string")
+    rows = [(r[0], r[1]) for r in edge_rows()]
+    got = ranking.rank_documents(edge_frame(spark), named).collect()
+    assert sorted([tuple(r) for r in got], key=repr) == plain_ranks(rows, [("x", "two words")])
