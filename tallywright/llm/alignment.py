@@ -5,9 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from itertools import product
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +17,12 @@ from pyspark.sql import functions as F
 from tallywright.llm.rows import ship, small_batches
 from tallywright.workspace import settle
 
-#: Parts of a text remembered by a worker; one of over 64 bytes is worked out each time.
+#: Parts of texts remembered by a worker; one of over 64 bytes is worked out each time.
 MOST_PARTS, LONGEST_PART = 1 << 19, 64
+#: Longer texts are worked through in segments of about so many bytes.
+SEGMENT = 1 << 20
+#: New parts are encoded in texts of about so many bytes; pairs of a group with more are counted by distinct ids.
+JOINED, LARGE_GROUP = 1 << 14, 1 << 12
 #: Id pairs held by a worker at once: 17 bytes each. More pairs take more passes over the written alignments.
 PAIRS_AT_ONCE = 1 << 22
 #: A text with more copies than this is joined in several tasks; so are at most one in this many rows' texts.
@@ -27,6 +30,7 @@ COPIES_A_TASK = 10_000
 #: A space after another character than a space, before one that is surely no white space. Both tokenizers
 #: start a token there whatever stands around it.
 CUT = re.compile(rb"(?<! ) (?=[!-~\xc3-\xdf])")
+SURE = frozenset([*range(0x21, 0x7F), *range(0xC3, 0xE0)])
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -38,30 +42,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
-def aligned(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[list[int], list[int]]]:
-    """Groups (ids of A, ids of B) cut where tokens of both end; the tokens (id, bytes) cover the same bytes."""
-    groups, left, right = [], [], []
-    at_a = at_b = j = 0
-    for token, size in a:
-        left.append(token)
-        at_a += size
-        while j < len(b) and at_b + b[j][1] <= at_a:
-            right.append(b[j][0])
-            at_b += b[j][1]
-            j += 1
-        if at_a == at_b:
-            groups.append((left, right))
-            left, right = [], []
-    return groups
-
-
-def links(groups: list[tuple[list[int], list[int]]]) -> dict[tuple[int, int], int]:
-    """How often each id pair is linked: all pairs of a group, by distinct ids, so a long group stays small."""
-    found: Counter = Counter()
-    for left, right in groups:
-        for (x, m), (y, n) in product(Counter(left).items(), Counter(right).items()):
-            found[x, y] += m * n
-    return found
+def spread_out(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... (``many`` of them) of each entry, one after the other."""
+    return np.arange(int(many.sum())) + np.repeat(first - np.cumsum(many) + many, many)
+
+
+def segments(text: bytes) -> list[bytes]:
+    """The text in pieces of about :data:`SEGMENT` bytes, cut at places of :data:`CUT`."""
+    out, start = [], 0
+    while cut := CUT.search(text, start + SEGMENT):
+        out.append(text[start : cut.start()])
+        start = cut.end()
+    return [*out, text[start:]]
+
+
+def distinct_sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with the sum of its values."""
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    first = np.flatnonzero(np.concatenate([[True] * (len(keys) > 0), keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(values, first) if len(first) else values
 
 
 class Aligner:
@@ -69,7 +69,8 @@ class Aligner:
 
     A text with a space before it is cut at :data:`CUT`. Neither tokenizer's tokens cross such a
     place: A's pattern starts a word there, and no piece of B has a space after another character
-    (the constructor checks both). So the joined results of the parts are the result of the text.
+    (the constructor checks both). So the joined results of the parts are the result of the text, and
+    parts may be encoded side by side in one text.
     """
 
     def __init__(self, byte_level: str, pieces: str):
@@ -92,81 +93,176 @@ class Aligner:
         self.bytes_b = [
             bytes([int(x[3:5], 16)]) if self.b.is_byte(k) else x.replace("▁", " ").encode() for k, x in enumerate(names)
         ]
+        self.size_a, self.size_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
         self.n_b = len(names)
         self.kind = np.dtype("<u4" if len(self.bytes_a) * self.n_b <= 1 << 32 else "<u8")
+        digits = [str(k).encode() for k in range(max(len(self.bytes_a), self.n_b))]
+        self.n_digits = np.array(list(map(len, digits)))
+        width = int(self.n_digits.max()) + 1
+        self.digits = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in digits), np.uint8).reshape(-1, width)
         self._clear()
 
     def _clear(self) -> None:
         self.memory: dict[bytes, int] = {}
         self.texts: list[bytes] = []
-        self.codes: list[np.ndarray] = []
-        self.times: list[np.ndarray] = []
-        self.sizes: list[tuple[int, ...]] = []
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.first = np.zeros(0, np.int64)
+        self.many = np.zeros(0, np.int64)
+        self.codes = np.zeros(0, np.int64)
+        self.times = np.zeros(0, np.int64)
+
+    def _encode(self, texts: list[bytes]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of A and B for each text; None where bytes got lost."""
+        plain = [t.decode() for t in texts]
+        out = []
+        left = self.a.encode_batch_fast([" " + p for p in plain], add_special_tokens=False)
+        for text, a, b in zip(texts, left, self.b.encode(plain)):
+            whole = b" " + text
+            lossless = b"".join([self.bytes_a[x] for x in a.ids]) == whole == b"".join([self.bytes_b[y] for y in b])
+            out.append((a.ids, b) if lossless else None)
+        return out
 
     def _learn(self, parts: list[bytes]) -> list[int]:
-        """Numbers of new entries for parts, each the bytes after its space; -1 where bytes got lost."""
-        plain = [p.decode() for p in parts]
-        tokens = zip(self.a.encode_batch_fast([" " + p for p in plain], add_special_tokens=False), self.b.encode(plain))
-        numbers = []
-        for part, (a, b) in zip(parts, tokens):
-            left = [(x, len(self.bytes_a[x])) for x in a.ids]
-            right = [(y, len(self.bytes_b[y])) for y in b]
-            whole = b" " + part
-            if b"".join([self.bytes_a[x] for x in a.ids]) != whole or b"".join([self.bytes_b[y] for y in b]) != whole:
-                numbers.append(-1)
+        """Entries for new parts, each the bytes after its space; -1 where bytes got lost."""
+        whole: list[list[bytes]] = []
+        alone: list[bytes] = []
+        size = JOINED
+        for p in parts:
+            if p[0] not in SURE or p[-1] == 32:
+                alone.append(p)
                 continue
-            groups = aligned(left, right)
-            found = links(groups)
-            numbers.append(len(self.texts))
-            self.texts.append(
-                ";".join([",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups]).encode()
-            )
-            codes = np.fromiter((x * self.n_b + y for x, y in found), self.kind, len(found))
-            self.codes.append(codes)
-            self.times.append(np.fromiter(found.values(), np.int64, len(found)))
-            self.sizes.append((len(left), len(right), len(groups), int(self.times[-1].sum())))
-        return numbers
-
-    def align(self, text: bytes | None) -> tuple[list[int], bytes | None, np.ndarray, np.ndarray]:
-        """([n_a, n_b, n_groups, n_links], groups, pair codes in order, times each is linked).
-
-        Groups are None for a text without tokens.
-        """
-        nothing = [0] * 4, None, np.zeros(0, self.kind), np.zeros(0, np.int64)
-        if not text:
-            return nothing
-        if len(self.memory) > MOST_PARTS or len(self.texts) > 2 * MOST_PARTS:
+            if size >= JOINED:
+                whole.append([])
+                size = 0
+            whole[-1].append(p)
+            size += len(p) + 1
+        encoded = list(zip(whole, self._encode([b" ".join(w) for w in whole])))
+        alone += [p for w, ids in encoded if ids is None for p in w]
+        encoded = [x for x in encoded if x[1] is not None]
+        encoded += [([p], ids) for p, ids in zip(alone, self._encode(alone)) if ids is not None]
+        good = [p for w, _ in encoded for p in w]
+        start = len(self.texts)
+        if good:
+            ids = [np.fromiter(chain.from_iterable(x[1][k] for x in encoded), np.int64) for k in range(2)]
+            self._keep(*ids, np.cumsum([len(p) + 1 for p in good]))
+        number = {p: start + k for k, p in enumerate(good)}
+        return [number.get(p, -1) for p in parts]
+
+    def _keep(self, a: np.ndarray, b: np.ndarray, ends: np.ndarray) -> None:
+        """Adds the parts that end at ``ends`` (in bytes) of the ids a and b to the memory."""
+        at_a, at_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        cuts = np.intersect1d(at_a, at_b, assume_unique=True)
+        edges_a, edges_b = (np.searchsorted(x, cuts, side="right") for x in (at_a, at_b))
+        last = np.searchsorted(cuts, ends)  # each part's last group
+        n_a, n_b = np.diff(edges_a, prepend=0), np.diff(edges_b, prepend=0)
+        first_a, first_b = edges_a - n_a, edges_b - n_b
+        part = np.searchsorted(ends, cuts)  # each group's part
+
+        # Pairs of a group: all with all, of a long one by distinct ids.
+        small = np.where(n_a * n_b <= LARGE_GROUP, n_a * n_b, 0)
+        group = np.repeat(np.arange(len(cuts)), small)
+        k = spread_out(np.zeros(len(cuts), np.int64), small)
+        codes = a[first_a[group] + k // n_b[group]] * self.n_b + b[first_b[group] + k % n_b[group]]
+        times, owner = np.ones(len(codes), np.int64), part[group]
+        for g in np.flatnonzero(small == 0).tolist():
+            x, m = np.unique(a[first_a[g] : edges_a[g]], return_counts=True)
+            y, n = np.unique(b[first_b[g] : edges_b[g]], return_counts=True)
+            codes = np.concatenate([codes, np.add.outer(x * self.n_b, y).ravel()])
+            times = np.concatenate([times, np.multiply.outer(m, n).ravel()])
+            owner = np.concatenate([owner, np.full(len(x) * len(y), part[g])])
+        order = np.argsort(owner, kind="stable")
+        many = np.bincount(owner, minlength=len(ends))
+        first = len(self.codes) + np.cumsum(many) - many
+        ordinal = last + 1
+        sums = np.concatenate([[0], np.cumsum(n_a * n_b)])[ordinal]
+        sizes = np.diff(np.stack([edges_a[last], edges_b[last], ordinal, sums], 1), axis=0, prepend=np.zeros((1, 4), np.int64))
+
+        # Groups as text: A's ids, B's ids, each id's digits and the mark after it.
+        group_a, group_b = np.repeat(np.arange(len(cuts)), n_a), np.repeat(np.arange(len(cuts)), n_b)
+        place_a = np.arange(len(a)) + first_b[group_a]
+        place_b = np.arange(len(b)) + edges_a[group_b]
+        ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), 44, np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        marks[place_a[edges_a - 1]], marks[place_b[edges_b - 1]] = 124, 59
+        letters = self.digits[ids]
+        letters[np.arange(len(ids)), self.n_digits[ids]] = marks
+        raw = letters[letters != 0].tobytes()
+        stops = np.cumsum(self.n_digits[ids] + 1)[place_b[edges_b[last] - 1]].tolist()
+        self.texts += [raw[x:y] for x, y in zip([0, *stops], stops)]
+        self.codes, self.times = np.concatenate([self.codes, codes[order]]), np.concatenate([self.times, times[order]])
+        self.first, self.many = np.concatenate([self.first, first]), np.concatenate([self.many, many])
+        self.sizes = np.concatenate([self.sizes, sizes])
+
+    def _part_numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Entry of each part of the texts (-1: bytes got lost), and how many parts each has."""
+        if len(self.texts) > MOST_PARTS or len(self.codes) > 16 * MOST_PARTS:
             self._clear()
-        parts = CUT.split(b" " + text)
-        if parts[0]:
-            parts[0] = parts[0][1:]
-        else:
-            del parts[0]
+        parts, counts = [], []
+        for text in texts:
+            own = CUT.split(b" " + text)
+            if own[0]:
+                own[0] = own[0][1:]
+            else:
+                del own[0]
+            parts += own
+            counts.append(len(own))
         numbers = list(map(self.memory.get, parts))
         new = list({p: None for p, k in zip(parts, numbers) if k is None})
-        fresh: list[int] = []
         if new:
-            keep = len(self.texts)
             known = dict(zip(new, self._learn(new)))
             self.memory |= {p: k for p, k in known.items() if len(p) <= LONGEST_PART}
-            fresh = [k for p, k in known.items() if len(p) > LONGEST_PART and k >= 0]
             numbers = [known[p] if k is None else k for p, k in zip(parts, numbers)]
-        if min(numbers) < 0:
-            out = nothing
-        else:
-            part, often = np.unique(np.array(numbers), return_counts=True)
-            each = [self.sizes[k] for k in part.tolist()]
-            sizes = (np.array(each, np.int64) * often[:, None]).sum(axis=0).tolist()
-            codes = np.concatenate([self.codes[k] for k in part.tolist()])
-            times = np.concatenate([self.times[k] * n for k, n in zip(part.tolist(), often.tolist())])
-            order = np.argsort(codes, kind="stable")
-            codes, times = codes[order], times[order]
-            first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-            out = sizes, b";".join([self.texts[k] for k in numbers]), codes[first], np.add.reduceat(times, first)
-        if fresh and min(fresh) >= keep:
-            for k in fresh:  # long parts are not kept; their numbers stay, empty
-                self.texts[k], self.codes[k], self.times[k] = b"", self.codes[k][:0], self.times[k][:0]
-        return out
+        return np.array(numbers, np.int64), np.array(counts, np.int64)
+
+    def align(self, texts: list[bytes | None]) -> list[tuple[list[int], bytes | None, np.ndarray, np.ndarray]]:
+        """([n_a, n_b, n_groups, n_links], groups, pair codes in order, times each is linked) for each text.
+
+        Groups are None for a text without tokens.
+        """
+        nothing = [0] * 4, None, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out: list[tuple] = [nothing] * len(texts)
+        pieces = [(k, s) for k, t in enumerate(texts) if t for s in segments(t)]
+        start = 0
+        while start < len(pieces):
+            stop, size = start, 0
+            while stop < len(pieces) and (stop == start or size + len(pieces[stop][1]) <= SEGMENT):
+                size += len(pieces[stop][1])
+                stop += 1
+            owners = [k for k, _ in pieces[start:stop]]
+            for k, found in zip(owners, self._align([s for _, s in pieces[start:stop]])):
+                if found is None:
+                    out[k] = None
+                elif out[k] is nothing:
+                    out[k] = found
+                elif out[k] is not None:  # a further segment of a long text
+                    old = out[k]
+                    sums = distinct_sums(*(np.concatenate([old[c], found[c]]) for c in (2, 3)))
+                    out[k] = [x + y for x, y in zip(old[0], found[0])], old[1] + b";" + found[1], *sums
+            start = stop
+        return [nothing if x is None else x for x in out]
+
+    def _align(self, texts: list[bytes]) -> list[tuple | None]:
+        numbers, counts = self._part_numbers(texts)
+        ends = np.cumsum(counts)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        lost = np.zeros(len(texts), bool)
+        lost[owner[numbers < 0]] = True
+        known = np.maximum(numbers, 0) if len(self.texts) else numbers
+        if lost.all():
+            return [None] * len(texts)
+        sizes = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(self.sizes[known], axis=0)])
+        sizes = sizes[ends] - sizes[ends - counts]
+        many = self.many[known]
+        at = spread_out(self.first[known], many)
+        codes, times = distinct_sums(np.repeat(owner, many) << 40 | self.codes[at], self.times[at])
+        cuts = np.searchsorted(codes, np.arange(len(texts) + 1) << 40).tolist()
+        codes &= (1 << 40) - 1
+        names, places = self.texts, known.tolist()
+        return [
+            None if lost[k]
+            else (sizes[k].tolist(), b"".join([names[j] for j in places[e - n : e]])[:-1], codes[a:b], times[a:b])
+            for k, (n, e, a, b) in enumerate(zip(counts.tolist(), ends.tolist(), cuts[:-1], cuts[1:]))
+        ]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -193,8 +289,8 @@ def aligned_texts(texts: DataFrame, byte_level: str, pieces: str, keep_groups: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(byte_level, pieces)
-        for batch in small_batches(batches):
-            rows = [both.align(t.as_buffer().to_pybytes() if t.is_valid else None) for t in batch.column(2)]
+        for batch in small_batches(batches, 4 << 20):
+            rows = both.align([t.as_buffer().to_pybytes() if t.is_valid else None for t in batch.column(2)])
             wide = [both.kind.itemsize == 8 or (len(r[3]) > 0 and int(r[3].max()) >= 1 << 32) for r in rows]
             kinds = [np.dtype("<u8" if w else "<u4") for w in wide]
             columns = [batch.column(0), batch.column(1)]

@@ -118,19 +118,24 @@ def test_edge_rows_and_real_documents(spark, plain, sf):
 
 def test_groups_as_text_and_forgetting(spark, plain, monkeypatch):
     monkeypatch.setattr(alignment, "MOST_PARTS", 3)
+    monkeypatch.setattr(alignment, "SEGMENT", 40)
+    monkeypatch.setattr(alignment, "JOINED", 30)
+    monkeypatch.setattr(alignment, "LARGE_GROUP", 2)
     both = alignment.Aligner(A, B)
-    for _, text in texts():
-        sizes, groups, codes, times = both.align(None if text is None else text.encode())
-        want = plain(text)
-        assert (groups is None) == (not want)
-        if want:
-            assert groups.decode() == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in want)
+    every = [None if t is None else t.encode() for _, t in texts()]
+    for found in ([both.align([t])[0] for t in every], both.align(every)):
+        for (_, text), (sizes, groups, codes, times) in zip(texts(), found):
+            want = plain(text)
+            assert (groups is None) == (not want)
             pairs = Counter()
             for x, y in want:
                 for p, m in Counter(x).items():
                     for q, n in Counter(y).items():
                         pairs[p * both.n_b + q] += m * n
             assert dict(zip(codes.tolist(), times.tolist())) == pairs
+            assert sizes == [*(sum(len(g[k]) for g in want) for k in (0, 1)), len(want), sum(pairs.values())]
+            if want:
+                assert groups.decode() == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in want)
     frame = spark.createDataFrame([("a b", 1)], "text string, copies long")
     row = alignment.aligned_texts(frame, A, B, keep_groups=True).first()
     assert hashlib.sha256(row["groups"].encode()).hexdigest() == row["groups_sha256"]
