@@ -9,6 +9,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 from tallywright.llm import copies, graph, simhash, suffixes, vectors
+from tallywright.workspace import settle
 from tests.llm.cases import edge_frame, edge_rows, no_rows, prose
 
 
@@ -213,9 +214,21 @@ def near_copies() -> list[tuple]:
     return rows
 
 
+def plain_shingles(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_groups(texts: dict) -> dict:
+    """Node to smallest node of its group, by all pairs of exact sets."""
+    sets = {k: plain_shingles(t) for k, t in texts.items()}
+    near = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return classes(list(texts), near)
+
+
 def test_near_copies_go_at_jaccard_of_four_fifths(spark):
     rows = near_copies()
-    sets = {i: set(copies.shingles(t)) for i, t in rows}
+    sets = {i: plain_shingles(t) for i, t in rows}
     near = {(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert all((g, g + n) in near for g in range(0, 600, 100) for n in (1, 2, 3, 4)) and not any(b % 100 > 4 for _, b in near)
     far = [(a, b) for a, b in near if (simhash.fingerprint(rows[0][1] if a == 0 else dict(rows)[a]) ^ simhash.fingerprint(dict(rows)[b])).bit_count() > 2]
@@ -226,11 +239,75 @@ def test_near_copies_go_at_jaccard_of_four_fifths(spark):
     assert left == sorted(map(str, [g + n for g in range(0, 600, 100) for n in (0, 6, 9)] + [None, 990]))
 
 
-def test_unlike_texts_of_a_bucket_are_all_judged(spark, monkeypatch):
-    monkeypatch.setattr(copies, "bands", lambda grams: [1])
-    rows = near_copies()
-    left = [r["doc_id"] for r in copies.one_of_each(spark.createDataFrame(rows[::-1], "doc_id long, text string")).collect()]
-    assert sorted(left) == [g + n for g in range(0, 600, 100) for n in (0, 6, 9)]
+def group_texts() -> dict:
+    """Copies of many degrees, chains of them, and texts that share passages or little else."""
+    rng = random.Random(31)
+    passages = [prose(rng, rng.randint(8, 60)).split() for _ in range(6)]
+    texts = [prose(rng, rng.randint(1, 9)) for _ in range(20)]
+    for _ in range(25):
+        words = prose(rng, rng.randint(6, 90)).split()
+        for _ in range(rng.randint(1, 9)):
+            texts.append(" ".join(words))
+            for _ in range(rng.randint(0, 2)):  # each copy of the one before, so ends of a chain differ
+                words[rng.randrange(len(words))] = prose(rng, 1)
+    for _ in range(60):  # mostly a common passage, with words of their own
+        own = prose(rng, rng.randint(0, 12)).split()
+        passage = rng.choice(passages)
+        texts.append(" ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :]))
+    texts += [" ".join(sum(rng.sample(passages, 3), [])) for _ in range(30)]
+    return dict(enumerate(dict.fromkeys(t.lower() for t in texts)))
+
+
+def linked(spark, texts: dict, parts: int = 3, **options) -> dict:
+    frame = spark.createDataFrame([(k, t.encode()) for k, t in texts.items()], "node long, text binary").repartition(parts)
+    links = copies.near_links(settle(frame, "test-texts"), **options).collect()
+    sets = {k: plain_shingles(t) for k, t in texts.items()}
+    for a, b in links:
+        assert a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    return classes(list(texts), {(a, b) for a, b in links})
+
+
+def test_links_connect_all_alike_texts(spark, monkeypatch):
+    texts = group_texts()
+    want = plain_groups(texts)
+    assert len(set(want.values())) < len(texts) - 40
+    assert linked(spark, texts) == want
+    assert linked(spark, texts, 7, map_bits=13) == want  # a full map of shingles that occur twice
+    assert linked(spark, texts, 1, most_common=0) == want  # no order of common shingles at all
+    raw = [t.encode() for t in texts.values()]
+    whole = copies.shingle_sets(raw)
+    assert list(map(len, whole)) == [len(plain_shingles(t)) for t in texts.values()]
+    monkeypatch.setattr(copies, "AT_ONCE", 500)
+    assert all((a == b).all() for a, b in zip(whole, copies.shingle_sets(raw), strict=True))
+
+
+def test_links_equal_exact_sets_on_the_table(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    texts = dict(enumerate(dict.fromkeys(" ".join((r["text"] or "").encode().lower().decode().split()) for r in rows)))
+    texts = {k: t for k, t in texts.items() if plain_shingles(t)}
+    assert linked(spark, texts) == plain_groups(texts)
+
+
+def test_an_unlike_common_passage_makes_few_pairs(spark):
+    rng = random.Random(5)
+    passage = prose(rng, 60)
+    texts = {k: f"{prose(rng, 6)} {passage} {prose(rng, 6)}" for k in range(400)}
+    frame = settle(spark.createDataFrame([(k, t.encode()) for k, t in texts.items()], "node long, text binary"), "test-texts")
+    order = copies.Order(settle(copies.shingle_ranges(frame), "test-counts"), copies.MOST_COMMON)
+    entries = copies.prefixes(frame, order).collect()
+    assert sum(r["most"] >= r["n"] for r in entries) < len(texts) / 4
+    assert copies.near_links(frame).count() == 0
+
+
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rng = random.Random(4)
+    one, two = prose(rng, 40), prose(rng, 40)
+    rows = [(5, one, "a"), (5, two, "b"), (5, two, "b"), (3, two, "a"), (7, one, "a"), (9, two + " end", "a"), (1, "", "x"), (0, None, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    left = sorted(tuple(r) for r in copies.one_of_each(frame.repartition(4)).fillna("").collect())
+    assert left == [(0, "", "y"), (3, two, "a"), (5, one, "a")]
+    again = [(5, one, "a")] * 30 + [(5, one, "b")] * 30
+    assert copies.one_of_each(spark.createDataFrame(again, "doc_id long, text string, row string")).count() == 1
 
 
 def test_near_copies_edges(spark):
@@ -238,5 +315,5 @@ def test_near_copies_edges(spark):
     kept = copies.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert ids.count(None) == 1 and ids.count(10) == 1 and 1 not in ids and 8 not in ids and 0 in ids
+    assert ids.count(None) == 1 and ids.count(10) == 1 and ids.count(11) == 2 and 1 not in ids and 8 not in ids and 0 in ids
     assert copies.one_of_each(no_rows(spark)).count() == 0
