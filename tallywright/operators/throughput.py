@@ -11,6 +11,7 @@ from tallywright.functions.statistics import gain, time_per_output_token
 from tallywright.operators.keys import join_on
 from tallywright.operators.quantiles import exact_quantiles
 from tallywright.operators.running import running
+from tallywright.workspace import settle
 
 # The sweep's published rules.
 PLATEAU_GAIN = 0.05
@@ -322,15 +323,31 @@ def idle_before_level(levels: DataFrame, running_before: str) -> DataFrame:
 
 
 def collapse_ratio(
-    requests: DataFrame, keys: Sequence[str], ts: str, tokens: str, width: str = "1 hour",
+    requests: DataFrame, keys: Sequence[str], ts: str, tokens: str, seconds: int = 3600,
     factor: float = COLLAPSE_FACTOR,
 ) -> DataFrame:
-    """Time buckets whose throughput fell far below the group's median bucket."""
-    buckets = requests.groupBy(*keys, F.window(ts, width).getField("start").alias("bucket")).agg(
-        F.sum(tokens).alias("tokens")
+    """Time buckets whose throughput fell far below the group's median bucket.
+
+    The buckets between two with requests in which nothing at all was served are one row: ``buckets``
+    counts them, ``bucket`` is the first. The median is over the buckets with requests.
+    """
+    width = seconds * 1_000_000
+    slot = F.floor(F.unix_micros(ts) / width).alias("_slot")
+    found = settle(requests.groupBy(*keys, slot).agg(F.sum(tokens).alias("tokens")), "throughput-buckets")
+    medians = exact_quantiles(found, keys, "tokens", {"median": 0.5}).select(*keys, "median")
+    missing = F.lead("_slot").over(Window.partitionBy(*keys).orderBy("_slot")) - F.col("_slot") - 1
+    own = F.struct(F.col("_slot").alias("at"), F.lit(1).cast("bigint").alias("n"), F.col("tokens").alias("t"))
+    gap = F.struct((F.col("_slot") + 1).alias("at"), F.col("_missing").alias("n"), F.lit(0).cast(found.schema["tokens"].dataType).alias("t"))
+    listed = found.withColumn("_missing", missing).select(
+        *keys, F.explode(F.when(F.col("_missing") > 0, F.array(own, gap)).otherwise(F.array(own))).alias("_b")
+    )
+    out = join_on(listed, medians, keys, "inner").select(
+        *keys,
+        F.timestamp_micros(F.col("_b.at") * width).alias("bucket"),
+        F.col("_b.n").alias("buckets"),
+        F.col("_b.t").alias("tokens"),
+        "median",
     )
-    medians = exact_quantiles(buckets, keys, "tokens", {"median": 0.5}).select(*keys, "median")
-    out = join_on(buckets, medians, keys, "inner")
     ratio = F.try_divide(F.col("median"), F.col("tokens"))
     return out.withColumn("times_below", ratio).withColumn(
         "collapsed", F.coalesce(ratio >= factor, F.col("tokens") == 0)

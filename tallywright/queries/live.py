@@ -77,21 +77,31 @@ def idle_gate(spark, sf_dir):
 
 
 @register("wedge_detector", """
-WITH w AS (SELECT user_id AS host, date_trunc('day', ts) AS d, event_type FROM events)
-SELECT host, strftime(d, '%Y-%m-%d %H:%M:%S') AS window_start,
-  count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) FILTER (WHERE event_type = 'purchase') AS successes,
-  count(*) FILTER (WHERE event_type = 'view') AS metadata_ok,
-  count(*) FILTER (WHERE event_type = 'error') > 0 AND count(*) FILTER (WHERE event_type = 'purchase') = 0
-    AND count(*) FILTER (WHERE event_type = 'view') > 0 AS wedged
-FROM w GROUP BY host, d""")
+WITH m AS (SELECT user_id AS host, epoch_us(ts) // 60000000 AS slot,
+    count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) FILTER (WHERE event_type = 'view') AS answers,
+    min(ts) FILTER (WHERE event_type = 'purchase') AS first_ok, max(ts) FILTER (WHERE event_type = 'purchase') AS last_ok,
+    min(ts) FILTER (WHERE event_type = 'error') AS first_bad, max(ts) FILTER (WHERE event_type = 'error') AS last_bad
+  FROM events GROUP BY ALL),
+s AS (SELECT *, count(last_ok) OVER (PARTITION BY host ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS k FROM m),
+sides AS (
+  SELECT host, k, NULL AS after, NULL AS until, first_bad, last_bad, failures, answers FROM s WHERE last_ok IS NULL
+  UNION ALL SELECT host, k, NULL, first_ok, CASE WHEN first_bad < first_ok THEN first_bad END,
+    CASE WHEN first_bad < first_ok THEN first_bad END, 0, 0 FROM s WHERE last_ok IS NOT NULL
+  UNION ALL SELECT host, k + 1, last_ok, NULL, CASE WHEN last_bad > last_ok THEN last_bad END,
+    CASE WHEN last_bad > last_ok THEN last_bad END, 0, 0 FROM s WHERE last_ok IS NOT NULL),
+g AS (SELECT host, max(after) AS after, min(until) AS until, min(first_bad) AS f, max(last_bad) AS t,
+    CAST(sum(failures) AS BIGINT) AS failures, CAST(sum(answers) AS BIGINT) AS metadata_ok FROM sides GROUP BY host, k)
+SELECT host, strftime(after, '%Y-%m-%d %H:%M:%S') AS after, strftime(until, '%Y-%m-%d %H:%M:%S') AS until,
+  strftime(f, '%Y-%m-%d %H:%M:%S') AS first_failure, strftime(t, '%Y-%m-%d %H:%M:%S') AS last_failure, failures, metadata_ok
+FROM g WHERE t IS NOT NULL AND metadata_ok > 0
+  AND epoch_us(coalesce(until, t)) - epoch_us(coalesce(after, f)) >= 86400000000""")
 def wedge_detector(spark, sf_dir):
     kind = F.col("kind")
     found = health.wedge_detector(
         _events(spark, sf_dir), "host", "ts", kind == "view", kind == "purchase",
         kind == "error", minutes=1440,
     )
-    out = latest_rows(spark, drain(found, "update"), ["host", "window_start"])
-    return out.withColumn("window_start", _at("window_start"))
+    return found.withColumns({c: _at(c) for c in ("after", "until", "first_failure", "last_failure")})
 
 
 @register("wedge_stretches", """

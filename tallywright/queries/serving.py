@@ -162,12 +162,16 @@ def idle_before_level(spark, sf_dir):
     )
 
 
-@register("collapse_ratio", views("req", b="""SELECT outcome, date_trunc('hour', ts) AS bucket,
+@register("collapse_ratio", views("req", b="""SELECT outcome, epoch_us(ts) // 3600000000 AS slot,
     CAST(sum(out_tok) AS BIGINT) AS tokens FROM req GROUP BY ALL""",
-    m="SELECT outcome, quantile_cont(tokens, 0.5) AS median FROM b GROUP BY outcome") + """
-SELECT b.outcome, CAST(b.bucket AS VARCHAR) AS bucket, b.tokens, round(m.median, 6) AS median,
-  round(m.median / b.tokens, 6) AS times_below, m.median / b.tokens >= 20 AS collapsed
-FROM b JOIN m ON m.outcome = b.outcome""")
+    m="SELECT outcome, quantile_cont(tokens, 0.5) AS median FROM b GROUP BY outcome",
+    gaps="SELECT outcome, slot + 1 AS slot, lead(slot) OVER (PARTITION BY outcome ORDER BY slot) - slot - 1 AS buckets FROM b",
+    listed="""SELECT outcome, slot, 1 AS buckets, tokens FROM b
+    UNION ALL SELECT outcome, slot, buckets, 0 FROM gaps WHERE buckets > 0""") + """
+SELECT b.outcome, CAST(make_timestamp(b.slot * 3600000000) AS VARCHAR) AS bucket, CAST(b.buckets AS BIGINT) AS buckets, b.tokens,
+  round(m.median, 6) AS median, round(m.median / nullif(b.tokens, 0), 6) AS times_below,
+  b.tokens = 0 OR m.median / nullif(b.tokens, 0) >= 20 AS collapsed
+FROM listed b JOIN m ON m.outcome = b.outcome""")
 def collapse_ratio(spark, sf_dir):
     out = throughput.collapse_ratio(req(spark, sf_dir), ["outcome"], "ts", "out_tok", factor=20.0)
     out = out.withColumn("bucket", F.date_format("bucket", "yyyy-MM-dd HH:mm:ss"))

@@ -279,3 +279,15 @@ def test_failure_classes(spark):
     df = spark.createDataFrame([("LimitsExceeded",), ("RepeatedFormatError",), ("Odd",), (None,)], "s string")
     got = [r.c for r in df.select(trust.failure_class(F.col("s")).alias("c")).collect()]
     assert got == ["agent-budget", "infra", "unknown", "unknown"]
+
+
+def test_hours_without_any_request_are_a_collapse(spark):
+    from datetime import datetime, timedelta
+
+    start = datetime(2026, 3, 1)
+    rows = [("m", start + timedelta(hours=h, minutes=k), 100) for h in range(10) if h not in (5, 6) for k in (0, 20, 59)]
+    rows += [("n", start + timedelta(hours=h), 10 if h else 1) for h in range(4)] + [("n", start + timedelta(days=900), 10)]
+    found = throughput.collapse_ratio(spark.createDataFrame(rows, "system string, ts timestamp, out_tok int"), ["system"], "ts", "out_tok", factor=10)
+    bad = sorted((r.system, (r.bucket - start) / timedelta(hours=1), r.buckets, r.tokens) for r in found.where("collapsed").collect())
+    assert bad == [("m", 5, 2, 0), ("n", 0, 1, 1), ("n", 4, 900 * 24 - 4, 0)]
+    assert found.where("not collapsed").count() == 8 + 4

@@ -68,11 +68,14 @@ def test_wedge_is_found_in_stream_and_table(spark):
     meta = (F.col("endpoint") == "models") & F.col("ok")
     good = (F.col("endpoint") == "chat") & F.col("ok")
     fail = (F.col("endpoint") == "chat") & ~F.col("ok")
-    half = len(rows) // 2
-    stream = health.wedge_detector(feed(spark, PROBES, rows[:half], rows[half:]), "host", "ts",
-                                   meta, good, fail, minutes=30)
-    got = latest_rows(spark, drain(stream, "update"), ["host", "window_start"]).where("wedged")
-    assert {(r.host, r.window_start) for r in got.collect()} == {("h", at(30)), ("h", at(60))}
+    order = sorted(rows, key=lambda r: (r[0].minute % 7, r[2]))  # batches overlap in time
+    found = [
+        health.wedge_detector(feed(spark, PROBES, order[::3], order[1::3], order[2::3]), "host", "ts", meta, good, fail),
+        health.wedge_detector(spark.createDataFrame(rows, PROBES), "host", "ts", meta, good, fail),
+    ]
+    for stretches in found:
+        got = [(r.host, r.after, r.until, r.first_failure, r.last_failure, r.failures) for r in stretches.collect()]
+        assert got == [("h", at(25), at(90), at(30), at(85), 12)]
     exact = health.wedge_stretches(
         spark.createDataFrame(rows, PROBES).withColumn("n", F.monotonically_increasing_id()),
         "host", "ts", ["ts", "n"], F.floor(F.unix_micros("ts") / 6e8), meta, good, fail,
@@ -80,6 +83,22 @@ def test_wedge_is_found_in_stream_and_table(spark):
     assert [(r.host, r.wedged_from, r.wedged_to, r.failures) for r in exact] == [("h", at(30), at(85), 12)]
 
 
+def test_wedge_lasts_from_success_to_success(spark):
+    meta = (F.col("endpoint") == "models") & F.col("ok")
+    good = (F.col("endpoint") == "chat") & F.col("ok")
+    fail = (F.col("endpoint") == "chat") & ~F.coalesce("ok", F.lit(False))  # no answer is no success
+    up = [(at(m), h, "models", True) for m in range(0, 200, 3) for h in "abcd"]
+    rows = [(at(m), "a", "chat", m in (1, 59)) for m in (1, *range(3, 58, 6), 59)]  # across windows of half an hour
+    rows += [(at(1), "b", "chat", True), (at(10), "b", "chat", None), (at(140), "b", "chat", None)]  # hangs to the end
+    rows += [(at(m), "c", "chat", m % 20 == 0) for m in range(0, 200, 4)]  # fails often, not for long
+    rows += [(at(0), "d", "chat", True), (at(120), "d", "chat", True)]  # nothing asked
+    rows += [(at(m), "e", "chat", False) for m in range(0, 100, 5)]  # its metadata endpoint is down too
+    got = health.wedge_detector(spark.createDataFrame(up + rows, PROBES), "host", "ts", meta, good, fail).collect()
+    assert sorted((r.host, r.after, r.until, r.last_failure) for r in got) == [
+        ("a", at(1), at(59), at(57)), ("b", at(1), None, at(140)),
+    ]
+
+
 def test_progress_frames_keep_the_latest(spark, fixtures):
     run = F.regexp_extract("file", r"/([^/]+)\.log$", 1)
     stream = verdicts.progress_stream(verdicts.progress_source(spark, f"{fixtures}/f7"), run)
