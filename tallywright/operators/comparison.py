@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallywright.operators.keys import join_on
 from tallywright.operators.running import running
+from tallywright.workspace import settle
 
 # Fixed value: memory kept free for the runtime, in GB.
 RUNTIME_RESERVE_GB = 5
@@ -98,11 +99,12 @@ def fits_memory(
 ) -> DataFrame:
     """For each model: how many hosts it fits and the smallest memory that holds it.
 
-    Models and hosts are put in one falling order of memory. A running count of hosts and the last
-    host met answer each model, so no pair is formed, sizes are compared as they are, and the order
-    is cut into chunks of one GB for the work. A model without a need fits nowhere.
+    Distinct needs and hosts are put in one falling order of memory. A running count of hosts and the
+    last host met answer each need, so no pair is formed and sizes are compared as they are; the answers are joined
+    to the models, a join that Spark may split where very many need the same. A model without a need fits nowhere.
     """
-    asked = models.withColumns({"_x": -F.col(need_gb), "_side": F.lit(1)})
+    needs = models.where(F.col(need_gb).isNotNull()).groupBy(F.col(need_gb).alias("_need")).agg(F.lit(1).alias("_side"))
+    asked = needs.withColumn("_x", -F.col("_need"))
     offered = hosts.where(F.col(usable_gb) >= 0).select((-F.col(usable_gb)).alias("_x"), F.lit(0).alias("_side"))
     host = F.col("_side") == 0
     placed = running(
@@ -110,14 +112,17 @@ def fits_memory(
         sums={"n_hosts": F.when(host, 1).otherwise(0).cast("bigint")},
         carries={"smallest_fit_gb": F.when(host, -F.col("_x"))},
     )
-    return placed.where("_side = 1").drop("_x", "_side").withColumn("fits", F.col("n_hosts") > 0)
+    answers = settle(placed.where("_side = 1").select("_need", "n_hosts", "smallest_fit_gb"), "memory-answers")
+    known = models.join(answers, F.col(need_gb) == F.col("_need"), "left").drop("_need")
+    return known.withColumn("n_hosts", F.coalesce("n_hosts", F.lit(0).cast("bigint"))).withColumn("fits", F.col("n_hosts") > 0)
 
 
 def run_configs(metrics: DataFrame, run: str = "file") -> DataFrame:
     """What a run's scores depend on, as one settings map per run and benchmark.
 
     Built from the long ``metrics`` table: task hash, output budget, harness
-    version, the filters reported, and the client's arguments.
+    version, the filters reported, the generation settings (temperature, stop words, number of
+    examples and whatever else is given), and the client's arguments.
     """
     own = F.create_map(
         F.lit("task_hash"), "task_hash",
@@ -125,6 +130,7 @@ def run_configs(metrics: DataFrame, run: str = "file") -> DataFrame:
         F.lit("harness_version"), "harness_version",
         F.lit("filters"), "filters",
     )
+    generation = F.coalesce("generation", F.create_map().cast("map<string,string>"))
     args = F.transform_keys(
         F.coalesce("model_args", F.create_map().cast("map<string,string>")),
         lambda k, v: F.concat(F.lit("args."), k),
@@ -132,11 +138,11 @@ def run_configs(metrics: DataFrame, run: str = "file") -> DataFrame:
     # The rows of one run and benchmark repeat its settings: few, and equal.
     per_run = metrics.groupBy(run, "task").agg(
         *[F.any_value(c).alias(c) for c in ("task_hash", "max_gen_toks", "harness_version",
-                                            "model_args")],
+                                            "model_args", "generation")],
         F.array_join(F.array_sort(F.collect_set("filter")), ",").alias("filters"),
     )
     return per_run.select(
-        run, "task", F.map_filter(F.map_concat(own, args), lambda k, v: v.isNotNull()).alias("config")
+        run, "task", F.map_filter(F.map_concat(own, generation, args), lambda k, v: v.isNotNull()).alias("config")
     )
 
 
@@ -182,7 +188,10 @@ def comparable_systems(
 def config_diff(
     configs: DataFrame, run: str = "run", config: str = "config"
 ) -> DataFrame:
-    """Settings that differ between runs: distinct values and runs without the key."""
+    """Settings that differ between runs: distinct values and runs without the key.
+
+    :func:`config_values` says which values they are.
+    """
     n_runs = configs.agg(F.countDistinct(run)).scalar()
     values = configs.select(run, F.explode(config).alias("key", "value"))
     per_key = values.groupBy("key").agg(
@@ -193,6 +202,18 @@ def config_diff(
     ).where((F.col("n_values") > 1) | (F.col("n_without_key") > 0))
 
 
+def config_values(configs: DataFrame, run: str = "run", config: str = "config") -> DataFrame:
+    """(key, value, n_runs) for every setting in which runs differ; the null value stands for runs without the key."""
+    differing = settle(config_diff(configs, run, config), "differing-settings")
+    values = configs.select(F.col(run).alias("_run"), F.explode(config).alias("key", "value"))
+    held = join_on(values, differing.select("key"), ["key"], "left_semi")
+    found = held.groupBy("key", "value").agg(F.countDistinct("_run").alias("n_runs"))
+    absent = differing.where("n_without_key > 0").select(
+        "key", F.lit(None).cast("string").alias("value"), F.col("n_without_key").alias("n_runs")
+    )
+    return found.unionByName(absent)
+
+
 def missing_matrix(
     scores: DataFrame, tasks: Sequence[str], system: str = "system", task: str = "task",
     states: DataFrame | None = None,
@@ -215,12 +236,13 @@ def missing_matrix(
 
 
 def token_usage(requests: DataFrame, task: str, in_tok: str, out_tok: str) -> DataFrame:
-    """Tokens per task and overall (task null)."""
+    """Tokens per task and overall; ``is_total`` tells the total from requests without a task."""
     per_task = requests.groupBy(task).agg(
         F.sum(in_tok).cast("bigint").alias("_in"), F.sum(out_tok).cast("bigint").alias("_out"),
         F.count(F.lit(1)).alias("_n"),
     )
     out = per_task.rollup(task).agg(
+        (F.grouping(task) == 1).alias("is_total"),
         F.sum("_n").cast("bigint").alias("requests"),
         F.sum("_in").cast("bigint").alias("in_tokens"),
         F.sum("_out").cast("bigint").alias("out_tokens"),

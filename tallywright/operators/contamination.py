@@ -20,8 +20,7 @@ from tallywright.workspace import settle, spread
 NGRAM = 13
 # Largest evaluation side that is broadcast, and what a row of it takes in memory.
 BROADCAST_BYTES = 64 << 20
-HASH_BYTES = 32
-WORD_BYTES = 24
+ROW_BYTES = 64
 # Beyond that, a hot n-gram's corpus rows spread over this many join keys.
 SALTS = 64
 
@@ -63,17 +62,18 @@ def _hash_rows(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
 
 
 def _semi_join(
-    rows: DataFrame, wanted: DataFrame, id_col: str, row_bytes: int, broadcast_bytes: int
+    rows: DataFrame, wanted: DataFrame, id_col: str, broadcast_bytes: int
 ) -> DataFrame:
     """Rows whose gram is wanted.
 
-    The wanted side is written out and counted. Up to ``broadcast_bytes`` it is
+    The wanted side is written out and measured, grams by their bytes. Up to ``broadcast_bytes`` it is
     broadcast, and the corpus rows are filtered where they are. Beyond that the
     join key carries a salt taken from the document, with the wanted side
     repeated once per salt, so the rows of a hot gram have many partitions.
     """
     known = settle(wanted.distinct(), "evaluation-grams")
-    if known.count() * row_bytes <= broadcast_bytes:
+    size = known.agg(F.sum(F.octet_length(F.col("gram").cast("string")) + ROW_BYTES)).first()[0] or 0
+    if size <= broadcast_bytes:
         return join_on(rows, F.broadcast(known), ["gram"], "left_semi", null_safe=False)
     salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -95,8 +95,7 @@ def corpus_hits(
     wanted_hashes = _hash_rows(items, item_id, "text", n).select("gram")
     maybe = settle(
         _semi_join(
-            _hash_rows(texts, corpus_id, "text", n), wanted_hashes, corpus_id, HASH_BYTES,
-            broadcast_bytes,
+            _hash_rows(texts, corpus_id, "text", n), wanted_hashes, corpus_id, broadcast_bytes
         )
         .select(corpus_id)
         .distinct(),
@@ -105,8 +104,7 @@ def corpus_hits(
     documents = join_on(texts, maybe, [corpus_id], "left_semi", null_safe=False)
     wanted = ngram_rows(items, item_id, "text", n).select("gram")
     return _semi_join(
-        ngram_rows(documents, corpus_id, "text", n), wanted, corpus_id, n * WORD_BYTES,
-        broadcast_bytes,
+        ngram_rows(documents, corpus_id, "text", n), wanted, corpus_id, broadcast_bytes
     ).distinct()
 
 

@@ -6,6 +6,10 @@ what came before each chunk; its rows are put in front of their chunks as
 opening rows, and one window per ``(key, chunk)`` then yields the same values
 as the plain window would. A key that holds a third of all rows is spread over
 as many tasks as it has chunks, and the rows are shuffled once.
+
+Chunks are counted. If one holds more rows than a task should order, as when
+most rows fall into one second, the rows are cut anew into ranges of about
+equal numbers along keys and order, whatever they are.
 """
 
 from __future__ import annotations
@@ -15,6 +19,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallywright.workspace import settle
+
+# Rows of a chunk, about; ranges are cut to half of it, as their bounds are sampled.
+MOST_ROWS = 1 << 21
+
 CHUNK = "_chunk"
 IS_ROW = "_is_row"
 
@@ -27,6 +36,7 @@ def running(
     sums: Mapping[str, Column] | None = None,
     carries: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
+    most_rows: int = MOST_ROWS,
 ) -> DataFrame:
     """Add running values in ``order`` within ``keys``.
 
@@ -35,7 +45,8 @@ def running(
 
     ``chunk`` must never decrease along ``order`` (a time bucket, a block of
     line numbers). Rows that tie in ``order`` follow each other in no fixed
-    order, so it should be unique within ``keys`` unless that does not matter.
+    order, so it should be unique within ``keys`` unless that does not matter: only rows that
+    tie stay together however many they are. No chunk of others has many more than ``most_rows``.
     """
     sums, carries, previous = dict(sums or {}), dict(carries or {}), dict(previous or {})
     lasts = {**carries, **previous}
@@ -43,10 +54,21 @@ def running(
     rows = df.withColumn(CHUNK, chunk)
     position = F.struct(*[F.col(c) for c in order])
 
-    totals = rows.groupBy(*keys, CHUNK).agg(
-        *[F.sum(e).alias(n) for n, e in sums.items()],
-        *[F.max_by(e, F.when(e.isNotNull(), position)).alias(n) for n, e in lasts.items()],
-    )
+    def counted(rows: DataFrame) -> DataFrame:
+        per_chunk = rows.groupBy(*keys, CHUNK).agg(
+            F.count(F.lit(1)).alias("_rows"),
+            *[F.sum(e).alias(n) for n, e in sums.items()],
+            *[F.max_by(e, F.when(e.isNotNull(), position)).alias(n) for n, e in lasts.items()],
+        )
+        return settle(per_chunk, "chunk-totals")
+
+    totals = counted(rows)
+    size = totals.agg(F.max("_rows").alias("most"), F.sum("_rows").alias("all")).first()
+    if (size["most"] or 0) > most_rows:
+        ranges = -(-2 * size["all"] // most_rows)
+        ranged = df.repartitionByRange(ranges, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
+        rows = settle(ranged, "ranges")
+        totals = counted(rows)
     before = (
         Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -45,7 +45,7 @@ def leaderboard(spark, sf_dir):
 @register("headline_scores", views("scored") + """
 SELECT system, task, 'exact_match' AS metric, CASE WHEN task = 'en' THEN 'line' ELSE 'fallback' END AS filter,
   FALSE AS is_stderr, round(avg(CAST(CASE WHEN task = 'en' THEN ok_line ELSE ok_fallback END AS INT)), 6) AS value
-FROM scored WHERE task IN ('en', 'de', 'fr') GROUP BY system, task""")
+FROM scored WHERE task IN ('en', 'de', 'fr', 'es') GROUP BY system, task""")
 def headline_scores(spark, sf_dir):
     both = F.array(
         F.struct(F.lit("line").alias("filter"), F.col("ok_line").alias("ok")),
@@ -59,7 +59,7 @@ def headline_scores(spark, sf_dir):
         .withColumn("is_stderr", F.lit(False))
     )
     chosen = {"en": ("exact_match", "line"), "de": ("exact_match", "fallback"),
-              "fr": ("exact_match", "fallback")}
+              "fr": ("exact_match", "fallback"), "es": ("exact_match", "fallback")}
     out = scoring.headline_scores(metrics, chosen)
     return rounded(out.select("system", "task", "metric", "filter", "is_stderr", "value"), value=6)
 

@@ -201,7 +201,7 @@ def probe(spark, sf_dir):
 
 
 @register("token_usage", views("req") + """
-SELECT outcome, count(*) AS requests, CAST(sum(in_tok) AS BIGINT) AS in_tokens,
+SELECT outcome, grouping(outcome) = 1 AS is_total, count(*) AS requests, CAST(sum(in_tok) AS BIGINT) AS in_tokens,
   CAST(sum(out_tok) AS BIGINT) AS out_tokens, CAST(sum(in_tok) + sum(out_tok) AS BIGINT) AS total_tokens
 FROM req GROUP BY ROLLUP (outcome)""")
 def token_usage(spark, sf_dir):
@@ -317,12 +317,26 @@ SELECT event_type AS key, count(DISTINCT v) AS n_values,
 FROM last_k GROUP BY event_type
 HAVING count(DISTINCT v) > 1 OR (SELECT count(DISTINCT user_id) FROM events) > count(DISTINCT user_id)""")
 def config_diff(spark, sf_dir):
+    return comparison.config_diff(_event_configs(spark, sf_dir))
+
+
+def _event_configs(spark, sf_dir):
     props = F.from_json("props", "map<string,string>")
     last = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run"), "event_type").agg(
         F.max_by(F.try_element_at(props, F.lit("k")), "event_id").alias("v")
     )
-    configs = last.select("run", F.create_map("event_type", "v").alias("config"))
-    return comparison.config_diff(configs)
+    return last.select("run", F.create_map("event_type", "v").alias("config"))
+
+
+@register("config_values", """
+WITH last_k AS (SELECT user_id, event_type, arg_max(regexp_extract(props, '([0-9]+)', 1), event_id) AS v
+  FROM events GROUP BY user_id, event_type),
+d AS (SELECT event_type, (SELECT count(DISTINCT user_id) FROM events) - count(DISTINCT user_id) AS without
+  FROM last_k GROUP BY event_type HAVING count(DISTINCT v) > 1 OR (SELECT count(DISTINCT user_id) FROM events) > count(DISTINCT user_id))
+SELECT event_type AS key, v AS value, count(DISTINCT user_id) AS n_runs FROM last_k JOIN d USING (event_type) GROUP BY ALL
+UNION ALL SELECT event_type, NULL, without FROM d WHERE without > 0""")
+def config_values(spark, sf_dir):
+    return comparison.config_values(_event_configs(spark, sf_dir))
 
 
 _GRAMS = """WITH words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \\t\\r\\n]+'),

@@ -151,12 +151,18 @@ def clean_text(spark, sf_dir):
 
 
 def _choices(text):
-    """Four answer choices cut from an item's words."""
+    """Four answer choices: all of an item's words, dealt to them in turn."""
     words = F.split(text, " ")
-    return F.array(*[F.coalesce(F.get(words, F.lit(i)), F.lit("none")) for i in range(4)])
 
+    def dealt_to(i: int):
+        return F.array_join(F.filter(words, lambda w, k: k % 4 == i), " ")
 
-_CHOICES = "list_transform([0, 1, 2, 3], lambda i: coalesce(string_split(text, ' ')[i + 1], 'none'))"
+    dealt = map(dealt_to, range(4))
+    return F.array(*[F.coalesce(F.nullif(d, F.lit("")), F.lit("none")) for d in dealt])
+
+
+_CHOICES = """list_transform([0, 1, 2, 3], lambda i: coalesce(nullif(array_to_string(
+    list_filter(string_split(text, ' '), lambda w, k: (k - 1) % 4 = i), ' '), ''), 'none'))"""
 
 
 @register("build_prompts", "SELECT item_id, '" + parsing.MCQ_TEMPLATE.replace("{question}", "' || text || '")

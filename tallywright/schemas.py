@@ -10,7 +10,7 @@ LATENCY_FIELDS = [f"{s}_{m}_ms" for m in LATENCIES for s in STATISTICS]
 # they are cast one by one, since "N/A" appears in numeric places.
 EVAL_RESULT = """
   results MAP<STRING, MAP<STRING, STRING>>,
-  configs MAP<STRING, STRUCT<generation_kwargs: STRUCT<max_gen_toks: BIGINT>>>,
+  configs MAP<STRING, STRUCT<generation_kwargs: MAP<STRING, STRING>, num_fewshot: STRING>>,
   `n-samples` MAP<STRING, STRUCT<original: BIGINT, effective: BIGINT>>,
   config STRUCT<model_args: STRING, gen_kwargs: STRING>,
   date STRING,

@@ -23,7 +23,14 @@ def parse_eval_results(documents: DataFrame) -> DataFrame:
     key = parsing.split_metric_key(F.col("key"))
     clock = parsing.parse_run_clock(F.col("d.date"), F.col("d.total_evaluation_time_seconds"))
     task = F.col("task")
-    budget = F.get_json_object("d.config.gen_kwargs", "$.max_gen_toks").try_cast("bigint")
+    # What the client asked for wins over the benchmark's own settings.
+    asked = parsing.parse_model_args(F.col("d.config.gen_kwargs"))
+    settings = F.try_element_at("d.configs", task)
+    own = F.coalesce(settings["generation_kwargs"], F.create_map().cast("map<string,string>"))
+    examples = F.create_map(F.lit("num_fewshot"), settings["num_fewshot"])
+    asked = F.coalesce(asked, F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(own, lambda k, v: ~F.map_contains_key(asked, k) & (k != "num_fewshot"))
+    generation = F.map_concat(F.map_filter(kept, lambda k, v: v.isNotNull()), F.map_filter(asked, lambda k, v: k != "num_fewshot"), examples)
     return rows.select(
         F.col("d.model_name").alias("model"),
         "task",
@@ -38,9 +45,8 @@ def parse_eval_results(documents: DataFrame) -> DataFrame:
         F.col("d.lm_eval_version").alias("harness_version"),
         parsing.parse_model_args(F.col("d.config.model_args")).alias("model_args"),
         F.try_element_at("d.task_hashes", task).alias("task_hash"),
-        F.coalesce(
-            budget, F.try_element_at("d.configs", task)["generation_kwargs"]["max_gen_toks"]
-        ).alias("max_gen_toks"),
+        F.try_element_at(generation, F.lit("max_gen_toks")).try_cast("bigint").alias("max_gen_toks"),
+        F.map_filter(generation, lambda k, v: v.isNotNull() & (k != "max_gen_toks")).alias("generation"),
         clock["eval_seconds"].alias("eval_seconds"),
         clock["run_ts"].alias("run_ts"),
         "file",

@@ -291,3 +291,59 @@ def test_hours_without_any_request_are_a_collapse(spark):
     bad = sorted((r.system, (r.bucket - start) / timedelta(hours=1), r.buckets, r.tokens) for r in found.where("collapsed").collect())
     assert bad == [("m", 5, 2, 0), ("n", 0, 1, 1), ("n", 4, 900 * 24 - 4, 0)]
     assert found.where("not collapsed").count() == 8 + 4
+
+
+@pytest.mark.parametrize("rule", ["interpolated", "index"])
+def test_percentiles_of_values_close_together(spark, rule):
+    """Narrow ranges are split until a bucket is small; ties, infinities and outliers don't hinder that."""
+    rng = np.random.default_rng(3)
+    groups = {
+        "tiny": rng.random(9000) * 1e-5,
+        "clock": 1.7e15 + rng.integers(0, 10**8, 9000).astype(float),
+        "ties": np.concatenate([np.full(6000, 3e-6), rng.random(3000) * 1e-5]),
+        "spread": np.concatenate([rng.random(5000) * 1e-12, [np.inf, -np.inf, 1e300, -5.0]]),
+    }
+    rows = [(g, float(v)) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    probs = {"p1": 0.01, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", probs, rule=rule, most_rows=100).collect()}
+    for g, values in groups.items():
+        ordered = np.sort(values)
+        for name, p in probs.items():
+            want = ordered[min(int(p * len(ordered)), len(ordered) - 1)] if rule == "index" else float(np.quantile(ordered, p))
+            assert got[g][name] == pytest.approx(want, rel=1e-12), (g, name)
+
+
+def test_running_values_where_most_rows_share_a_second(spark):
+    rng = random.Random(7)
+    rows = [("a" if i % 3 else "b", 1000 if i % 10 else i, i, rng.choice([None, "x", "y"]), i % 5) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, s long, id int, header string, v int").withColumn("ts", F.timestamp_seconds("s"))
+    def run(most):
+        out = running.running(df.repartition(7), ["k"], ["ts", "id"], running.time_chunk("ts"), sums={"total": F.col("v").cast("bigint")},
+                      carries={"last": F.col("header")}, previous={"before": F.col("header")}, most_rows=most)
+        return sorted(map(tuple, out.select("k", "id", "total", "last", "before").collect()))
+    plain, split = run(1 << 20), run(200)
+    assert plain == split
+    totals, last, before = {}, {}, {}
+    want = []
+    for k, s, i, h, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        totals[k] = totals.get(k, 0) + v
+        before[k] = last.get(k)
+        last[k] = h if h is not None else last.get(k)
+        want.append((k, i, totals[k], last[k], before[k]))
+    assert plain == sorted(want)
+
+
+def test_differing_settings_with_their_values(spark):
+    runs = [("a", {"util": "0.9", "seed": "1"}), ("b", {"util": "0.55", "seed": "1"}), ("c", {"util": "0.9", "seed": "1", "spec": "on"})]
+    df = spark.createDataFrame(runs, "run string, config map<string,string>")
+    got = sorted(tuple(r) for r in comparison.config_values(df).na.fill("-").collect())
+    assert got == [("spec", "-", 2), ("spec", "on", 1), ("util", "0.55", 1), ("util", "0.9", 2)]
+
+
+def test_models_of_one_size_fit_alike(spark):
+    models = spark.createDataFrame([(i, 80.0) for i in range(300)] + [(301, None), (302, 200.0), (303, 8.0)], "m int, need double")
+    hosts = spark.createDataFrame([(24.0,), (80.0,), (96.0,), (96.0,), (-1.0,), (None,)], "usable double")
+    got = {r.m: (r.n_hosts, r.smallest_fit_gb, r.fits) for r in comparison.fits_memory(models, hosts, "need", "usable").collect()}
+    assert len(got) == 303 and {got[i] for i in range(300)} == {(3, 80.0, True)}
+    assert got[301] == (0, None, False) and got[302] == (0, None, False) and got[303] == (4, 24.0, True)

@@ -158,6 +158,25 @@ def test_runs_of_one_task_are_not_comparable(spark, fixtures):
     assert "args.model" not in got and got["args.num_concurrent"] == ("6", "4")
 
 
+def test_generation_settings_decide_comparability(spark, tmp_path):
+    from tallywright.operators.comparison import comparability_check, run_configs
+
+    def result(settings, shots, asked="null"):
+        return ('{"results": {"gsm": {"em,strict": 0.5}}, "configs": {"gsm": {"generation_kwargs": ' + settings + ', "num_fewshot": '
+                + shots + '}}, "config": {"gen_kwargs": ' + asked + '}, "model_name": "m", "task_hashes": {"gsm": "h"}}')
+
+    folder = tmp_path / "m" / "raw"
+    folder.mkdir(parents=True)
+    (folder / "a.json").write_text(result('{"until": ["Q:", "</s>"], "temperature": 0, "max_gen_toks": 512}', "0"))
+    (folder / "b.json").write_text(result('{"until": ["Q:"], "temperature": 0, "max_gen_toks": 512}', "5"))
+    (folder / "c.json").write_text(result('{"until": ["Q:", "</s>"], "temperature": 0, "max_gen_toks": 512}', "0", '{"temperature": 0.6}'))
+    m = results.read_eval_results(spark, str(tmp_path)).withColumn("run", F.regexp_extract("file", "([a-z])[.]json$", 1))
+    diff = comparability_check(run_configs(m, "run"), "a", system="run").collect()
+    assert sorted(tuple(r) for r in diff) == [
+        ("b", "num_fewshot", "5", "0"), ("b", "until", '["Q:"]', '["Q:","</s>"]'), ("c", "temperature", "0.6", "0"),
+    ]
+
+
 def test_claims_are_reconciled_with_measured_scores(spark, fixtures):
     from tallywright.functions import parsing
     from tallywright.operators.comparison import reconcile
