@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.operators.bloom import bloom_words, maybe_in
 from tallywright.operators.keys import join_on
 from tallywright.workspace import settle, spread
 
@@ -67,7 +68,8 @@ def _semi_join(
     """Rows whose gram is wanted.
 
     The wanted side is written out and measured, grams by their bytes. Up to ``broadcast_bytes`` it is
-    broadcast, and the corpus rows are filtered where they are. Beyond that the
+    broadcast, and the corpus rows are filtered where they are. Beyond that a Bloom filter of fixed size
+    drops most corpus rows where they are, and for the others the
     join key carries a salt taken from the document, with the wanted side
     repeated once per salt, so the rows of a hot gram have many partitions.
     """
@@ -75,6 +77,8 @@ def _semi_join(
     size = known.agg(F.sum(F.octet_length(F.col("gram").cast("string")) + ROW_BYTES)).first()[0] or 0
     if size <= broadcast_bytes:
         return join_on(rows, F.broadcast(known), ["gram"], "left_semi", null_safe=False)
+    words = settle(bloom_words(known, F.xxhash64("gram")), "evaluation-filter")
+    rows = maybe_in(rows, F.xxhash64("gram"), words)
     salt = F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", salt)

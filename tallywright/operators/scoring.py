@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallywright.functions import answers, statistics
 from tallywright.operators.keys import join_on
@@ -164,41 +165,57 @@ def bootstrap_ci(
     iterations: int = 1000,
     seed: int = 1234,
     level: float = 0.95,
-    block: int = 500,
+    held: int = 1024,
 ) -> DataFrame:
     """Bootstrap interval of ``sum(hits) / sum(trials)``, resampling whole items.
 
     Items with equal ``(hits, trials)`` are interchangeable, and the number of
     times ``c`` such items are drawn is Poisson(c). So the items are first
-    merged into counts (map-side), and the draws grow with the number of
-    distinct outcomes instead of the number of items. Draws are seeded from the
+    merged into counts (map-side). Draws are seeded from the
     outcome itself and so do not depend on how the data is partitioned.
+
+    A task adds the draws of its outcomes up in two vectors per key, one element per iteration, and hands
+    on the sums, so what is shuffled grows with keys and iterations and not with outcomes. It holds vectors of ``held`` keys
+    at a time and hands on those it has before it begins with more.
     """
     keys = list(keys)
     outcomes = df.groupBy(*keys, hits, trials).agg(F.count(F.lit(1)).alias("_c"))
-    blocks = outcomes.withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // block)))
-    ).withColumn(
-        "_seed",
-        F.xxhash64(*keys, hits, trials, F.col("_block"), F.lit(seed)),
+    seeded = outcomes.select(
+        *keys, F.col(hits).cast("double").alias("_hits"), F.col(trials).cast("double").alias("_trials"), "_c",
+        F.xxhash64(*keys, hits, trials, F.lit(seed)).alias("_seed"),
+    )
+    ends = ["_top", "_bottom"]
+    vectors = T.StructType(
+        [outcomes.schema[k] for k in keys] + [T.StructField(e, T.ArrayType(T.DoubleType())) for e in ends]
     )
 
-    @F.pandas_udf("array<bigint>")
-    def draw(count: pd.Series, seeds: pd.Series, blocks: pd.Series) -> pd.Series:
-        def one(c: int, s: int, b: int) -> np.ndarray:
-            size = min(block, iterations - b * block)
-            return np.random.default_rng(s & 0xFFFFFFFFFFFFFFFF).poisson(c, size)
-
-        return pd.Series([one(c, s, b) for c, s, b in zip(count, seeds, blocks)])
-
-    # The draw is made before exploding, so each outcome and block is drawn once.
-    drawn = blocks.withColumn("_w", draw("_c", "_seed", "_block")).select(
-        *keys, hits, trials, "_block", F.posexplode("_w").alias("_i", "_weight")
+    def sums_of_draws(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        fields: list[pa.Field] = []
+
+        def handed_on() -> pa.RecordBatch:
+            columns = [pa.array([k[i] for k in sums], f.type) for i, f in enumerate(fields)]
+            columns += [pa.array([list(v[i]) for v in sums.values()], pa.list_(pa.float64())) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, names=keys + ends)
+
+        for batch in batches:
+            fields = [batch.schema.field(k) for k in keys]
+            rows = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for *key, hit, trial, count, start in zip(*rows):
+                if tuple(key) not in sums and len(sums) >= held:
+                    yield handed_on()
+                    sums.clear()
+                mine = sums.setdefault(tuple(key), np.zeros((2, iterations)))
+                drawn = np.random.default_rng(start & 0xFFFFFFFFFFFFFFFF).poisson(count, iterations)
+                mine += np.outer([hit or 0.0, trial or 0.0], drawn)
+        if sums:
+            yield handed_on()
+
+    drawn = seeded.mapInArrow(sums_of_draws, vectors).select(
+        *keys, F.posexplode(F.arrays_zip(*ends)).alias("_i", "_sums")
     )
-    replicates = drawn.groupBy(*keys, "_block", "_i").agg(
-        F.try_divide(
-            F.sum(F.col("_weight") * F.col(hits)), F.sum(F.col("_weight") * F.col(trials))
-        ).alias("_stat")
+    replicates = drawn.groupBy(*keys, "_i").agg(
+        F.try_divide(F.sum("_sums._top"), F.sum("_sums._bottom")).alias("_stat")
     )
     tail = (1 - level) / 2
     # One value per iteration: bounded by the parameter, whatever the data size.

@@ -9,7 +9,7 @@ from tallywright.queries.bindings import table, views
 from tallywright.queries.records import _progress_lines, _write_lines
 from tallywright.queries.registry import register, rounded
 from tallywright.streaming import health, metrics, verdicts
-from tallywright.streaming.run import all_rows, drain, final_rows, latest_rows, read_stream
+from tallywright.streaming.run import drain, latest_rows, read_stream
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -142,10 +142,10 @@ SELECT DISTINCT user_id AS model, event_type AS task, strftime(ts, '%Y-%m-%d') A
 def ingest_results_stream(spark, sf_dir):
     rows = _events(spark, sf_dir).select(
         F.col("host").alias("model"), F.col("kind").alias("task"),
-        F.date_format("ts", "yyyy-MM-dd").alias("run_date"), "ts",
+        F.date_format("ts", "yyyy-MM-dd").alias("run_date"), "ts", "event_id",
     )
-    fresh = verdicts.ingest_results(rows, ["model", "task", "run_date"], "ts")
-    return all_rows(spark, drain(fresh, "append")).select("model", "task", "run_date")
+    keys = ["model", "task", "run_date"]
+    return verdicts.ingest_archive(rows, keys, ["ts", "event_id"]).select(*keys)
 
 
 @register("late_segments", views("verd") +
@@ -188,6 +188,5 @@ def table_sessions(spark, sf_dir):
 SELECT host, strftime(a, '%Y-%m-%d %H:%M:%S') AS run_start, strftime(b, '%Y-%m-%d %H:%M:%S') AS run_end, events
 FROM r""")
 def run_sessions(spark, sf_dir):
-    runs = metrics.run_sessions(_events(spark, sf_dir), ["host"], gap="12 hours")
-    found = final_rows(spark, drain(runs, "complete"))
+    found = metrics.archive_sessions(_events(spark, sf_dir), ["host"], gap="12 hours")
     return found.select("host", _at("run_start"), _at("run_end"), "events")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywright.functions import answers, parsing
 from tallywright.operators import comparison, scoring, trust, verdicts
+from tallywright.operators.keys import join_on
 from tallywright.plans import quality as quality_plan
 from tallywright.queries.bindings import LANGS, MCQ, resp, score_table, scored, table, verd, views
 from tallywright.queries.registry import register, rounded
@@ -364,14 +365,43 @@ def null_rate_gate(spark, sf_dir):
     return rounded(trust.null_rate_gate(resp(spark, sf_dir), ["system"], 0.15), null_rate=6)
 
 
-@register("bootstrap_ci")
-def bootstrap_ci(spark, sf_dir):
-    checks = _checks(spark, sf_dir).select(
+def _trials(spark, sf_dir):
+    return _checks(spark, sf_dir).select(
         "system",
         F.size(F.filter("strict", lambda x: x)).alias("hits"),
         F.size("strict").alias("trials"),
     )
-    return scoring.bootstrap_ci(checks, ["system"], "hits", "trials", iterations=1000)
+
+
+@register("bootstrap_ci")
+def bootstrap_ci(spark, sf_dir):
+    return scoring.bootstrap_ci(_trials(spark, sf_dir), ["system"], "hits", "trials", iterations=1000)
+
+
+@register("bootstrap_error", _CHECKS + """,
+counts AS (SELECT system, len(list_filter(strict, lambda x: x)) AS h, len(strict) AS t FROM checks),
+ratios AS (SELECT system, count(*) AS n, sum(h) / sum(t) AS r, sum(t) AS t FROM counts GROUP BY system),
+errors AS (SELECT c.system, sqrt(sum((c.h - r * c.t) * (c.h - r * c.t))) / any_value(q.t) AS e
+  FROM counts c JOIN ratios q ON c.system IS NOT DISTINCT FROM q.system GROUP BY c.system)
+SELECT q.system, n, round(r, 6) AS estimate, round(e, 6) AS formula_error, e > 0 AS varies,
+  e > 0 AS error_agrees, e > 0 AS bracketed
+FROM ratios q JOIN errors x ON q.system IS NOT DISTINCT FROM x.system""")
+def bootstrap_error(spark, sf_dir):
+    """The bootstrap beside the closed formula of a ratio's error: within 15 %, and around the estimate."""
+    trials = _trials(spark, sf_dir)
+    drawn = scoring.bootstrap_ci(trials, ["system"], "hits", "trials", iterations=1000)
+    off = F.col("hits") - F.col("estimate") * F.col("trials")
+    closed = join_on(trials, drawn, ["system"], "inner").groupBy("system").agg(
+        (F.sqrt(F.sum(off * off)) / F.sum("trials")).alias("formula_error")
+    )
+    both = join_on(drawn, closed, ["system"], "inner")
+    error = F.col("formula_error")
+    out = both.select(
+        "system", "n", "estimate", error, (error > 0).alias("varies"),
+        ((F.col("stderr") > error * 0.85) & (F.col("stderr") < error * 1.15)).alias("error_agrees"),
+        ((F.col("low") < F.col("estimate")) & (F.col("estimate") < F.col("high"))).alias("bracketed"),
+    )
+    return rounded(out, estimate=6, formula_error=6)
 
 
 @register("rank_models", views("scores") + """

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallywright.operators.running import running, time_chunk
+from tallywright.operators.running import running
+from tallywright.streaming.run import all_rows, drain
+from tallywright.workspace import settle
 
 
 def timed(samples: DataFrame, ts: str, watermark: str | None) -> DataFrame:
@@ -96,7 +98,8 @@ def run_sessions(
 ) -> DataFrame:
     """Group activity into runs separated by a gap of inactivity.
 
-    Without a watermark a stream of runs is written in complete mode and holds open runs as well.
+    For live streams: with a watermark a run is put out once it has ended. Archives, whose rows come in
+    no order of time, are read by :func:`archive_sessions`.
     """
     rows = timed(activity, ts, watermark)
     return (
@@ -111,31 +114,63 @@ def run_sessions(
     )
 
 
-def table_sessions(
-    activity: DataFrame, keys: Sequence[str], ts: str = "ts", gap_seconds: int = 86400
-) -> DataFrame:
-    """``run_sessions`` for tables, for keys of any size.
+def _gap_micros(gap: str) -> Column:
+    return F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {gap}"))
+
+
+def activity_slots(activity: DataFrame, keys: Sequence[str], ts: str, gap: str) -> DataFrame:
+    """First and last time and number of rows per key and slot of one gap's length.
 
-    A session window would bring all rows of a key to one task. Here a row that
-    comes a gap or more after the one before it opens a run, and running sums
-    over time chunks number the runs. The last run of a key counts as ended.
+    Rows of one slot are less than a gap apart and so of one run. Summaries merge in any order, and a key has
+    as many as its history has gaps, however many rows it has. Rows without a time belong to no run.
     """
-    rows = activity.select(*keys, ts)
-    chunk = time_chunk(ts, max(gap_seconds, 3600))
-    seen = running(rows, keys, [ts], chunk, previous={"_before": F.col(ts)})
-    apart = F.unix_micros(ts) - F.unix_micros("_before")
-    opens = F.when(F.coalesce(apart >= gap_seconds * 1_000_000, F.lit(True)), 1).otherwise(0)
-    # Of rows at one instant, the one that opens the run has to come first.
-    marked = seen.withColumn("_rest", F.lit(1) - opens)
-    runs = running(
-        marked, keys, [ts, "_rest"], chunk, sums={"_run": (1 - F.col("_rest")).cast("bigint")}
+    at = F.unix_micros(ts)
+    return activity.where(F.col(ts).isNotNull()).groupBy(*keys, (at - F.pmod(at, _gap_micros(gap))).alias("_slot")).agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")
     )
-    return (
-        runs.groupBy(*keys, "_run")
-        .agg(
-            F.min(ts).alias("run_start"),
-            F.timestamp_micros(F.unix_micros(F.max(ts)) + gap_seconds * 1_000_000).alias("run_end"),
-            F.count(F.lit(1)).alias("events"),
-        )
-        .drop("_run")
+
+
+def joined_slots(slots: DataFrame, keys: Sequence[str], gap: str) -> DataFrame:
+    """Runs from slots: one that begins a gap or more after the end of the one before opens a run."""
+    merged = settle(
+        slots.groupBy(*keys, "_slot").agg(
+            F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_n").alias("_n")
+        ),
+        "activity-slots",
     )
+    chunk = F.floor(F.col("_slot") / (_gap_micros(gap) * 65536))
+    seen = running(merged, keys, ["_slot"], chunk, previous={"_before": F.col("_last")})
+    apart = F.unix_micros("_first") - F.unix_micros("_before")
+    opens = F.coalesce(apart >= _gap_micros(gap), F.lit(True)).cast("bigint")
+    numbered = running(settle(seen, "activity-gaps"), keys, ["_slot"], chunk, sums={"_run": opens})
+    return numbered.groupBy(*keys, "_run").agg(
+        F.min("_first").alias("run_start"),
+        F.timestamp_micros(F.unix_micros(F.max("_last")) + _gap_micros(gap)).alias("run_end"),
+        F.sum("_n").alias("events"),
+    ).drop("_run")
+
+
+def archive_sessions(
+    activity: DataFrame, keys: Sequence[str], ts: str = "ts", gap: str = "1 day"
+) -> DataFrame:
+    """Runs of a stream read to the end of its input, or of a table, in any order and number of files.
+
+    Each micro-batch writes its slots; the reader merges them and joins those nearer than the gap. No state
+    is kept between batches, what is written grows with the input alone, and no task gets all rows of a
+    key. The last run of a key counts as ended.
+    """
+    if not activity.isStreaming:
+        return joined_slots(activity_slots(activity, keys, ts, gap), keys, gap)
+
+    def write(batch: DataFrame, target: str) -> None:
+        activity_slots(batch, keys, ts, gap).write.mode("overwrite").parquet(target)
+
+    out = drain(activity.select(*keys, ts), "append", write)
+    return joined_slots(all_rows(activity.sparkSession, out), keys, gap)
+
+
+def table_sessions(
+    activity: DataFrame, keys: Sequence[str], ts: str = "ts", gap_seconds: int = 86400
+) -> DataFrame:
+    """``archive_sessions`` of a table, with the gap in seconds."""
+    return archive_sessions(activity, keys, ts, f"{gap_seconds} seconds")

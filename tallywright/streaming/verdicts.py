@@ -6,9 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tallywright.operators.bloom import bloom_words, maybe_in
+from tallywright.operators.keys import join_on
 from tallywright.sources.agentic import FRAME_COUNT, parse_progress
-from tallywright.streaming.run import drain
+from tallywright.streaming.run import all_rows, drain
+from tallywright.workspace import settle
 
 
 def progress_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -35,14 +39,40 @@ def ingest_results(
 ) -> DataFrame:
     """New result rows, each key once.
 
-    The state holds every key, so that no row of an archive is late; a watermark bounds it to recent
-    keys, for streams whose rows come in order of time.
+    The state holds every key, so that no row is late; a watermark bounds it to recent
+    keys, for streams whose rows come in order of time. :func:`ingest_archive` needs neither.
     """
     if not watermark:
         return results.dropDuplicates(list(keys))
     return results.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
+def ingest_archive(results: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """New result rows of a stream, each key once, with nothing kept in executors between batches.
+
+    What was accepted is the store: a folder per micro-batch. A batch keeps of each of its keys the row that
+    comes first in ``order`` and takes away the keys of earlier folders. Of the store only key columns are
+    read, and a Bloom filter of the batch's keys, of fixed size, leaves of them little more than those the batch
+    repeats, so the exact anti-join shuffles no more than the batch. A batch that is replayed looks at earlier folders only and
+    replaces its own. Null keys equal each other. Which row of a key stays depends on the batches, not the keys.
+    """
+    keys, columns = list(keys), results.columns
+    position = F.struct(*order)
+
+    def write(batch: DataFrame, target: str) -> None:
+        store, number = target.rsplit("/batch=", 1)
+        fresh = batch.groupBy(*keys).agg(F.min_by(F.struct(*columns), position).alias("_r")).select("_r.*")
+        if int(number):
+            fresh = settle(fresh, "fresh-results")
+            known = T.StructType([fresh.schema[k] for k in keys] + [T.StructField("batch", T.IntegerType())])
+            seen = fresh.sparkSession.read.schema(known).parquet(store).where(F.col("batch") < int(number))
+            words = bloom_words(fresh, F.xxhash64(*keys))
+            fresh = join_on(fresh, maybe_in(seen.select(*keys), F.xxhash64(*keys), words), keys, "left_anti")
+        fresh.write.mode("overwrite").parquet(target)
+
+    return all_rows(results.sparkSession, drain(results, "append", write)).select(*columns)
+
+
 def late_segments(
     attempts: DataFrame, keys: Sequence[str], order: Sequence[str], keep: Sequence[str]
 ) -> DataFrame:

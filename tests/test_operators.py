@@ -14,6 +14,7 @@ from tallywright.functions import answers, parsing
 from tallywright.operators import (
     attempts, comparison, contamination, running, sampling, scoring, throughput, trust, verdicts,
 )
+from tallywright.operators.bloom import bloom_words, maybe_in
 from tallywright.operators.quantiles import exact_quantiles
 
 
@@ -173,6 +174,19 @@ def test_contamination_matches_brute_force(spark, broadcast_bytes):
     assert hits == {i: len(grams(t) & wanted) for i, t in docs if grams(t) & wanted}
 
 
+def test_bloom_filter_keeps_every_key_and_its_size(spark):
+    bits, key = 10, F.xxhash64("id")
+    held = spark.range(8 << bits)  # eight bits a key
+    words = bloom_words(held.union(held), key, bits)
+    assert words.count() <= 1 << bits
+    asked = spark.range(-50_000, 8 << bits)
+    passed = maybe_in(asked, key, words, bits)
+    assert passed.columns == ["id"]
+    n = passed.agg(F.count_if(F.col("id") >= 0).alias("own"), F.count_if(F.col("id") < 0).alias("other")).first()
+    assert n.own == 8 << bits and n.other < 5_000
+    assert maybe_in(asked, key, bloom_words(held.limit(0), key, bits), bits).count() == 0
+
+
 def test_bootstrap_agrees_with_the_formula_and_repeats(spark):
     pdf = pd.DataFrame({"k": ["a"] * 400 + ["b"] * 50, "hit": [i % 4 == 0 for i in range(450)]})
     df = spark.createDataFrame(pdf).select("k", F.col("hit").cast("int").alias("hit"), F.lit(1).alias("one"))
@@ -185,6 +199,25 @@ def test_bootstrap_agrees_with_the_formula_and_repeats(spark):
         assert r.low < p < r.high
 
 
+def test_bootstrap_of_unlike_items_does_not_depend_on_partitions(spark):
+    """Every item its own outcome, so that no two are merged; a null key, a key without trials, a null outcome."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"k": ["a"] * 1500 + ["b"] * 300, "hits": rng.integers(0, 1000, 1800), "trials": rng.integers(1000, 2000, 1800)})
+    rows = [tuple(r) for r in pdf.astype(object).itertuples(index=False)]
+    rows += [(None, 1, 2), (None, None, 3), (None, 0, 4), ("c", 0, 0)]
+    df = spark.createDataFrame(rows, "k string, hits long, trials long")
+    want = scoring.bootstrap_ci(df, ["k"], "hits", "trials", iterations=500).orderBy("k").collect()
+    again = scoring.bootstrap_ci(df.repartition(7), ["k"], "hits", "trials", iterations=500, held=1).orderBy("k").collect()
+    assert want == again and [r.k for r in want] == [None, "a", "b", "c"]
+    for r in want[1:3]:
+        own = pdf[pdf.k == r.k]
+        ratio = own.hits.sum() / own.trials.sum()
+        assert r.estimate == pytest.approx(ratio) and r.n == len(own) and r.low < ratio < r.high
+        assert r.stderr == pytest.approx(((own.hits - ratio * own.trials) ** 2).sum() ** 0.5 / own.trials.sum(), rel=0.15)
+    assert want[0].estimate == pytest.approx(1 / 9)
+    assert (want[3].estimate, want[3].stderr, want[3].low, want[3].high) == (None, None, None, None)
+
+
 def test_stderr_is_the_sample_error_and_null_for_one_row(spark):
     df = spark.createDataFrame([("a", True)] * 144 + [("a", False)] * 54 + [("b", True)], "k string, ok boolean")
     got = {r.k: r for r in scoring.score_summary(df, ["k"], "ok").collect()}

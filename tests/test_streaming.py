@@ -115,6 +115,44 @@ def test_duplicate_results_are_dropped_across_batches(spark):
     assert sorted((r.model, r.task) for r in got.collect()) == [("m", "t"), ("m", "u"), ("n", "t")]
 
 
+def test_archive_takes_each_key_once(spark):
+    schema = "model string, task string, ts timestamp, score double"
+    a = [("m", "t", at(5), 1.0), ("m", "t", at(3), 2.0), (None, "t", at(1), 3.0)]
+    b = [("m", "t", at(0), 4.0), (None, "t", at(0), 5.0), ("n", None, at(2), 6.0)]
+    c = [("n", None, at(1), 7.0), ("n", "t", None, None), ("m", "t", at(9), 8.0)]
+    got = verdicts.ingest_archive(feed(spark, schema, a, b, c), ["model", "task"], ["ts"])
+    assert got.columns == ["model", "task", "ts", "score"]
+    assert sorted(map(str, got.select("model", "task", "score").collect())) == sorted(
+        f"Row(model={m!r}, task={t!r}, score={x})" for m, t, x in
+        [("m", "t", 2.0), (None, "t", 3.0), ("n", None, 6.0), ("n", "t", None)]
+    )
+
+
+def test_runs_from_slots_of_batches_and_tables(spark):
+    """Gaps are exact to the microsecond, across slots and batches, in any order, for a key with most rows."""
+    import random
+
+    rng, now, gap = random.Random(3), dt.datetime(2030, 1, 1, 0, 7, 13), dt.timedelta(minutes=30)
+    rows, want = [], []
+    for _ in range(12):
+        start, n = now, rng.randrange(1, 60)
+        for _ in range(n):
+            rows.append((now, "hot"))
+            last, now = now, now + rng.choice([dt.timedelta(0), dt.timedelta(minutes=7), gap - dt.timedelta(microseconds=1)])
+        want.append(("hot", start, last + gap, n))
+        now = last + gap + rng.choice([dt.timedelta(0), dt.timedelta(days=40)])
+    rows += [(at(3), None), (at(20), None), (None, "hot"), (None, "none")]
+    want.append((None, at(3), at(50), 2))
+    rng.shuffle(rows)
+    schema = "ts timestamp, host string"
+    stream = feed(spark, schema, rows[::3], rows[1::3], rows[2::3])
+    for activity in (stream, spark.createDataFrame(rows, schema)):
+        got = metrics.archive_sessions(activity, ["host"], gap="30 minutes").select("host", "run_start", "run_end", "events")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    empty = metrics.archive_sessions(spark.createDataFrame([], schema), ["host"])
+    assert empty.collect() == [] and empty.columns == ["host", "run_start", "run_end", "events"]
+
+
 def test_late_segment_does_not_undo_a_newer_verdict(spark):
     schema = "i int, segment int, status string"
     newer, older = [(1, 2, "Submitted"), (2, 2, "Timeout")], [(1, 1, "Timeout"), (3, 1, "Submitted")]
