@@ -78,6 +78,14 @@ def request_latency(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def per_user_rate(levels: DataFrame, level: str = "concurrency", rate: str = "out_tok_s") -> DataFrame:
+    """What one of ``level`` users sees of a level's output rate; null for a level of none.
+
+    The mean rate of single requests (:func:`request_latency`) leaves out the time between a user's requests.
+    """
+    return levels.withColumn("tok_s_per_user", F.try_divide(F.col(rate), F.col(level)))
+
+
 def peak_rate(
     requests: DataFrame, keys: Sequence[str], ts: str, tokens: str, width: str = "1 second"
 ) -> DataFrame:

@@ -90,6 +90,13 @@ def gain_vs_prev(spark, sf_dir):
     return rounded(throughput.gain_vs_prev(levels), gain=6)
 
 
+@register("per_user_rate", views("gains") + """
+SELECT system, concurrency, out_tok_s, round(out_tok_s / nullif(concurrency, 0), 6) AS tok_s_per_user FROM gains""")
+def per_user_rate(spark, sf_dir):
+    levels = lvl(spark, sf_dir).select("system", "concurrency", "out_tok_s")
+    return rounded(throughput.per_user_rate(levels), tok_s_per_user=6)
+
+
 @register("find_plateau", views("gains", m="""SELECT *, max(gain) OVER (PARTITION BY system
     ORDER BY concurrency ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM gains""") + """
 SELECT system, min(concurrency) FILTER (WHERE gain IS NOT NULL AND rest < 0.02) AS plateau_level,

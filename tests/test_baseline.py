@@ -56,6 +56,12 @@ def test_practical_and_sustained_peaks(curves):
     assert (last.sustained_peak, last.practical_peak) == (266.34, 258.77)
 
 
+def test_published_rates_per_user(curves):
+    last = curves.where(F.col("system") == curves.agg(F.max("system")).first()[0])
+    got = [r.tok_s_per_user for r in throughput.per_user_rate(last).orderBy("concurrency").collect()]
+    assert got == pytest.approx([17.65, 14.67, 10.54, 7.57, 4.88, 3.52, 2.59, 1.82, 1.35, 1.04], abs=0.0051)
+
+
 def test_interactive_operating_points(curves):
     out = throughput.slo_operating_point(curves)
     levels = [r[0] for r in by_sweep(out, "operating_level")]
