@@ -16,6 +16,22 @@ def _mark(edges: DataFrame) -> tuple[int, int]:
     return row["n"], int(row["h"] or 0)
 
 
+def star_round(state: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, of the same components as those of ``state``, each node nearer to its smallest one.
+
+    Large-star, then small-star; both are written to the shared folder.
+    """
+    both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    large = settle(
+        both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(),
+        "large-star",
+    )
+    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return settle(low.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "small-star")
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of an edge; root is the smallest node reachable.
 
@@ -30,16 +46,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     )
     mark = _mark(state)
     while mark[0]:
-        both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = settle(
-            both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(),
-            "large-star",
-        )
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = settle(low.select("a", F.col("m").alias("b")).unionByName(small).distinct(), "small-star")
+        state = star_round(state)
         before, mark = mark, _mark(state)
         if before == mark:
             break
