@@ -19,10 +19,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest doc_id.
 
-    Near are texts whose five-word shingles have a Jaccard similarity of at least 0.8. Fingerprints of op7
-    within 2 bits miss almost all edited copies of that similarity, so pairs are found by an exact prefix filter.
+    Near are texts that op7 links, by fingerprints within 2 bits, and texts whose five-word shingles have a
+    Jaccard similarity of at least 0.8. Fingerprints miss almost all edited copies of that similarity, so those
+    pairs are found by an exact prefix filter.
     """
-    return copies.one_of_each(docs)
+    return copies.one_of_each(docs, by_fingerprint=True)
 
 
 def masked_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallywright.llm import simhash
 from tallywright.llm.graph import components, star_round
 from tallywright.llm.rows import ship, small_batches
 from tallywright.workspace import settle
@@ -23,9 +24,11 @@ MOST_COMMON = 1 << 21
 RANGES, MAP_BITS = 10, 27
 #: Hashes a task holds back to merge repeats before they are shuffled; texts worked through at once, in bytes.
 HELD, AT_ONCE = 1 << 20, 1 << 20
+#: 64-bit words of a set's sketch.
+SKETCH = 8
 
 #: All pairs of a shingle are judged when they are at most so many for each entry; all pairs left when a turn
-#: connected fewer than one in USEFUL of them and found fewer than one in USEFUL of its own pairs alike.
+#: connected fewer than one in USEFUL of them and found fewer alike pairs than one in USEFUL of its entries.
 ALL_PAIRS, USEFUL = 4, 10
 
 _rng = np.random.default_rng(42)
@@ -100,6 +103,15 @@ def alike(both: int, a: int, b: int) -> bool:
     return LEAST[1] * both >= LEAST[0] * (a + b - both)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """A bit for each of 512 places that an odd number of the set's hashes fall on, as signed 64-bit numbers.
+
+    Sets differ in at least as many elements as their sketches differ in bits.
+    """
+    odd = np.bincount((own & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(bool)).view("<i8")
+
+
 def raw_texts(column: pa.Array) -> list[bytes | None]:
     return [t.as_buffer().to_pybytes() if t.is_valid else None for t in column]
 
@@ -243,7 +255,7 @@ class Order:
 
 
 def prefixes(texts: DataFrame, order: Order) -> DataFrame:
-    """(gram, node, n, most): the shingles of each text's prefix.
+    """(gram, node, n, most, sketch): the shingles of each text's prefix; the sketch is at its first row, others have none.
 
     ``n`` is the size of the text's set, ``most`` the largest set that may be alike to it if this is the
     first shingle they share: of 9 n_common >= 4 (n + n_other), what follows in the order is n_common at best.
@@ -254,17 +266,23 @@ def prefixes(texts: DataFrame, order: Order) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             columns: list[list[np.ndarray]] = [[], [], [], []]
+            sketches, lengths = [np.zeros(0, np.int64)], [np.zeros(1, np.int32)]
             for node, own in zip(batch.column(0).to_pylist(), shingle_sets(raw_texts(batch.column(1)))):
                 grams, places = known.value.prefix(own)
                 rest = len(own) - places
                 values = grams.astype(np.int64), np.full(len(grams), node), np.full(len(grams), len(own)), (up + down) * rest // up - len(own)
                 for column, value in zip(columns, values):
                     column.append(value)
+                if len(grams):
+                    sketches.append(sketch(own))
+                    lengths.append(np.where(np.arange(len(grams)) == 0, SKETCH, 0).astype(np.int32))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
             arrays = [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]), k) for c, k in zip(columns, kinds)]
-            yield pa.RecordBatch.from_arrays(arrays, ["gram", "node", "n", "most"])
+            offsets = np.cumsum(np.concatenate(lengths), dtype=np.int32)
+            arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sketches))))
+            yield pa.RecordBatch.from_arrays(arrays, ["gram", "node", "n", "most", "sketch"])
 
-    return texts.select("node", "text").mapInArrow(run, "gram long, node long, n int, most int")
+    return texts.select("node", "text").mapInArrow(run, "gram long, node long, n int, most int, sketch array<long>")
 
 
 def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -296,10 +314,16 @@ def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def may_be_alike(x: str, y: str) -> Column:
-    """Whether entries of two texts, x the smaller set and low, allow that this is the first shingle they share."""
+    """Whether entries of two texts, x the smaller set and low, allow that this is the first shingle they share.
+
+    The sketches bound from below in how many shingles the sets differ: a ninth of both sizes at most if they are alike.
+    """
+    apart = sum(F.bit_count(F.col(f"{x}.sketch.s{k}").bitwiseXOR(F.col(f"{y}.sketch.s{k}"))) for k in range(SKETCH))
+    up, down = LEAST
     return (
         F.col(f"{y}.n").between(F.col(f"{x}.n"), F.col(f"{x}.most")) & (F.col(f"{x}.n") <= F.col(f"{y}.most"))
         & (F.col(f"{x}.root") != F.col(f"{y}.root"))
+        & ((up + down) * apart <= (down - up) * (F.col(f"{x}.n") + F.col(f"{y}.n")))
     )
 
 
@@ -308,26 +332,35 @@ def low_high(found: DataFrame) -> DataFrame:
     return found.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
-def near_links(texts: DataFrame, most_common: int = MOST_COMMON, map_bits: int = MAP_BITS) -> DataFrame:
+def near_links(
+    texts: DataFrame, most_common: int = MOST_COMMON, map_bits: int = MAP_BITS, known: DataFrame | None = None
+) -> DataFrame:
     """Links (a, b) of alike texts that connect any two alike texts; ``texts`` is a written table (node, text).
 
+    ``known`` are stars (a, b), b the smallest node of its group, that are connected whatever their texts; they
+    are among the links, and pairs they connect aren't judged.
+
     Shingles are counted exactly and ordered, rare ones first, so that passages of many texts come last and
     outside the prefixes. Of two alike sets the smaller has the first common shingle among its first ninth,
     where its ``most`` is no less than its size: it is *low*. Shingles of few pairs wait for the end. At the others, in
     a turn each text is judged against one low text at each shingle of its prefix, then 1, 4 and 16 others a turn, unless they are connected already; so groups of
     near copies of any size grow together in few turns of a few pairs a text. What is connected follows from one
     star round a turn, which may miss some of it but claims nothing else. When little is left to connect, or a
-    turn connects little, all pairs are judged that share a shingle, may be alike by size and place and aren't
+    turn connects little, all pairs are judged that share a shingle, may be alike by size, place and sketch and aren't
     known to be connected: no link between unconnected texts is lost.
     """
     spark = texts.sparkSession
     order = Order(settle(shingle_ranges(texts, map_bits), "shingle-counts"), most_common)
     entries = settle(prefixes(texts, order), "prefixes").withColumn("low", F.col("most") >= F.col("n"))
+    sketches = entries.filter(F.size("sketch") > 0).select(
+        "node", F.struct(*[F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]).alias("sketch")
+    )
     met = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.count_if("low").alias("l")).filter("c > 1 and l > 0")
     met = met.select("gram", ((F.col("c") - 1) * F.col("l") > ALL_PAIRS * F.col("c")).alias("hot"))
-    entries = settle(entries.join(settle(met, "shared"), "gram"), "entries")
+    entries = settle(entries.drop("sketch").join(settle(met, "shared"), "gram").join(sketches, "node"), "entries")
     pool = entries.filter("hot")
-    links = asked = stars = spark.createDataFrame([], "a long, b long")
+    asked = spark.createDataFrame([], "a long, b long")
+    links = stars = asked if known is None else known
     turn, before, slow = 0, None, False
     while True:
         roots = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
@@ -343,17 +376,17 @@ def near_links(texts: DataFrame, most_common: int = MOST_COMMON, map_bits: int =
         firsts = [F.struct("n", "node")] if turn == 0 else [
             F.struct(F.xxhash64("node", "gram", F.lit(turn), F.lit(k)), "node") for k in range(min(4 ** (turn - 1), 16))
         ]
-        one = F.struct("node", "n", "most", "root")
+        one = F.struct("node", "n", "most", "root", "sketch")
         lead = left.filter("low").groupBy("gram").agg(F.array_distinct(F.array(*[F.min_by(one, f) for f in firsts])).alias("x"))
         lead = lead.select("gram", F.explode("x").alias("x"))
-        other = F.struct("node", "n", "most", "root", "low").alias("y")
+        other = F.struct("node", "n", "most", "root", "sketch", "low").alias("y")
         found = left.select("gram", other).join(settle(lead, "leaders"), "gram")
         pairs = low_high(found.filter(may_be_alike("x", "y") | F.col("y.low") & may_be_alike("y", "x")))
         pairs = settle(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
         new = settle(judged(pairs, texts), "alike")
         links, asked = links.unionByName(new), asked.unionByName(pairs)
         stars = star_round(stars.unionByName(new))
-        turn, before, slow = turn + 1, size["pairs"], new.count() * USEFUL < pairs.count()
+        turn, before, slow = turn + 1, size["pairs"], new.count() * USEFUL < size["c"]
         pool = left.drop("root")
     rest = left.unionByName(entries.filter("not hot").withColumn("root", F.col("node")))
     pairs = low_high(rest.filter("low").alias("x").join(rest.alias("y"), "gram").filter(may_be_alike("x", "y")))
@@ -364,11 +397,12 @@ def near_links(texts: DataFrame, most_common: int = MOST_COMMON, map_bits: int =
     return links.unionByName(settle(judged(settle(unconnected, "unconnected"), texts), "alike"))
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by_fingerprint: bool = False) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id.
 
     Texts of equal words are merged first, so a group of copies of any size is one node. A group is
-    what links of alike texts connect; every two alike texts are in one group. Texts without a word are
+    what links of alike texts connect; every two alike texts are in one group. With ``by_fingerprint`` the classes
+    of :func:`simhash.near_duplicates` are links too, so texts of one class are in one group as well. Texts without a word are
     copies of each other. Rows that share a doc_id and differ are rows of their own; of a group's rows with
     the smallest doc_id that of the smallest hash over all columns stays, so reruns agree. Rows without an id
     stay. No rows give none.
@@ -380,7 +414,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     firsts = forms.groupBy("form").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     firsts = settle(firsts.select(F.monotonically_increasing_id().alias("node"), "first.*"), "distinct-texts")
     texts = settle(once(texts.join(firsts, ["doc_id", "key"]), repeated).select("node", "text"), "texts")
-    roots = components(near_links(texts), "a", "b")
+    known = None
+    if by_fingerprint:
+        same = simhash.near_duplicates(texts, "node").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+        known = settle(same.filter("a <> b"), "fingerprint-links")
+    roots = components(near_links(texts, known=known), "a", "b")
     grouped = firsts.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
     first = settle(grouped.groupBy("group").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.*"), "kept")
     kept = once(rows.join(first, ["doc_id", "key"], "left_semi"), repeated).select("row.*")

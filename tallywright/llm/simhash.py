@@ -22,13 +22,13 @@ SEED = 42
 BLOCK = 1 << 15
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    """64-bit SimHash of a text's word shingles as a signed number; 0 without a word.
+def fingerprint(text: str | bytes | None, width: int = SHINGLE) -> int:
+    """64-bit SimHash of a text's word shingles as a signed number; 0 without a word. Bytes are a text in UTF-8.
 
     A bit is set where over half of the shingles' XXH64 values, repeats included, have it set.
     ``bytes.lower`` and ``bytes.split`` touch ASCII only, which is the definition's A-Z and blanks.
     """
-    words = (text or "").encode().lower().split()
+    words = (text if isinstance(text, bytes) else (text or "").encode()).lower().split()
     if not words:
         return 0
     if len(words) < width:

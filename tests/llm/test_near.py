@@ -299,6 +299,46 @@ def test_an_unlike_common_passage_makes_few_pairs(spark):
     assert copies.near_links(frame).count() == 0
 
 
+def test_sketches_differ_no_more_than_their_sets():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 90, 2000):
+        one, other = (np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
+        for k in {0, n // 9, n // 2, n}:
+            both = np.union1d(one[k:], other[:k])
+            apart = sum(int(x).bit_count() for x in (copies.sketch(one) ^ copies.sketch(both)).view(np.uint64))
+            assert apart <= len(np.setxor1d(one, both))
+            assert apart > 0 or k == 0
+
+
+def test_edits_below_the_similarity_make_few_pairs(spark, monkeypatch):
+    rng, judged, asked = random.Random(12), copies.judged, []
+    monkeypatch.setattr(copies, "judged", lambda pairs, texts: asked.append(pairs.count()) or judged(pairs, texts))
+    base, texts = prose(rng, 100).split(), {}
+    for i in range(80):
+        words = list(base)
+        for k in rng.sample(range(5, 95, 6), 2):
+            words[k] = f"edit{i}x{k}"
+        texts[i] = " ".join(words)
+    assert linked(spark, texts) == plain_groups(texts)
+    assert sum(asked) <= 2 * len(texts)  # 3,160 pairs share shingles, sizes and places
+
+
+def test_classes_of_fingerprints_are_links_as_well(spark):
+    rng = random.Random(13)
+    cycle, words = "the copper ferry left harbour " * 30, prose(rng, 150).split()
+    edited = words[:40] + ["otherwise", "said"] + words[42:]
+    texts = {1: cycle + prose(rng, 12), 2: cycle + prose(rng, 12), 3: " ".join(words), 4: " ".join(edited), 5: prose(rng, 80)}
+    bits = {i: plain_fingerprint(t) for i, t in texts.items()}
+    assert (bits[1] ^ bits[2]).bit_count() <= 2 < (bits[3] ^ bits[4]).bit_count()
+    assert plain_groups(texts) == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5}
+    docs = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in copies.one_of_each(docs, by_fingerprint=True).collect()) == [1, 3, 5]
+    assert sorted(r["doc_id"] for r in copies.one_of_each(docs).collect()) == [1, 2, 3, 5]
+    # A link through a text that goes: 1 and 2 by fingerprint, 2 and 6 by similarity.
+    more = docs.union(spark.createDataFrame([(6, texts[2] + " " + "more")], docs.schema))
+    assert sorted(r["doc_id"] for r in copies.one_of_each(more, by_fingerprint=True).collect()) == [1, 3, 5]
+
+
 def test_rows_that_share_an_id_are_rows_of_their_own(spark):
     rng = random.Random(4)
     one, two = prose(rng, 40), prose(rng, 40)

@@ -52,6 +52,15 @@ def test_stages_take_effect(spark):
     assert kept["packing"].groupBy("sequence_id").sum("length").filter("`sum(length)` > 2048").count() == 0
 
 
+def test_near_duplicates_go_by_the_method_of_op7_too(spark):
+    rng = random.Random(14)
+    cycle = "the copper ferry left harbour " * 30
+    rows = [(i, cycle + prose(rng, 12), "en", "a", 1) for i in (5, 3, 9)] + [(4, prose(rng, 80), "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({r["component_id"] for r in queries.simhash.near_duplicates(docs).collect()}) == 2
+    assert sorted(r["doc_id"] for r in corpus_pipeline.unlike_documents(spark, docs, "").collect()) == [3, 4]
+
+
 def test_stages_take_edge_rows_and_none(spark):
     for docs in (edge_frame(spark), no_rows(spark)):
         for _, stage in corpus_pipeline.STAGES:
