@@ -23,6 +23,8 @@ from tallywright.workspace import settle
 
 # Rows of a chunk, about; ranges are cut to half of it, as their bounds are sampled.
 MOST_ROWS = 1 << 21
+# Rows a task orders, about; their chunks are whole, so one may have up to MOST_ROWS more.
+TASK_ROWS = 1 << 18
 
 CHUNK = "_chunk"
 IS_ROW = "_is_row"
@@ -88,7 +90,9 @@ def running(
     along = Window.partitionBy(*keys, CHUNK).orderBy(IS_ROW, *order)
     inside = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
-    stacked = values.unionByName(openings, allowMissingColumns=True)
+    # Tasks by rows: merged by shuffled bytes, which repeated keys make few, tasks would grow with the table.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(size["all"] or 0) // TASK_ROWS))
+    stacked = values.unionByName(openings, allowMissingColumns=True).repartition(tasks, *keys, CHUNK)
     return stacked.select(
         *df.columns,
         IS_ROW,

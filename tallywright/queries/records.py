@@ -30,6 +30,12 @@ def _write_lines(df, purpose, *partition_by):
     return path
 
 
+def _by_block(rows, *order):
+    """Rows in ``order``, the lines of a block in one task: a file each, and tasks that no merging makes larger."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "block").sortWithinPartitions("block", *order)
+
+
 @register("read_eval_results", views("scores") + """
 SELECT system AS model, task, 'acc' AS metric, 'answer-line' AS filter, is_stderr,
   CASE WHEN NOT is_stderr THEN round(score, 6) WHEN n > 1 THEN round(sqrt(score * (1 - score) / (n - 1)), 6) END AS value,
@@ -202,7 +208,7 @@ def read_exit_status(spark, sf_dir):
             F.lit(":\n    - org__repo-"), F.col("instance").cast("string"),
         ).alias("value"),
     )
-    ordered = rows.repartition("block").sortWithinPartitions("block", "attempt")
+    ordered = _by_block(rows, "attempt")
     out = agentic.read_exit_status(spark, _write_lines(ordered, "exits", "block"))
     return out.select(
         F.regexp_extract("file", "block=([0-9]+)", 1).cast("int").alias("block"),
@@ -223,10 +229,7 @@ def read_agent_log(spark, sf_dir):
     start = rows.select("block").distinct().select(
         "block", F.lit("==== tag (org/m) START Sat Aug  1 2026 ====").alias("value")
     )
-    ordered = (
-        start.withColumn("o", F.lit(0)).unionByName(rows.withColumn("o", F.lit(1)))
-        .repartition("block").sortWithinPartitions("block", "o")
-    )
+    ordered = _by_block(start.withColumn("o", F.lit(0)).unionByName(rows.withColumn("o", F.lit(1))), "o")
     out = agentic.read_agent_log(spark, _write_lines(ordered, "agent", "block"))
     return out.select("model", "problem", "event", "candidate", "score", "verdict")
 
@@ -254,7 +257,7 @@ SELECT CAST(attempt // 1000 AS INT) AS block, row_number() OVER (PARTITION BY at
   CAST(status = 'O' AS INT) AS bad, CAST(status = 'P' AS INT) AS error,
   CAST(60 + attempt % 60 AS INT) AS elapsed_s FROM attempts""")
 def read_progress_log(spark, sf_dir):
-    ordered = _progress_lines(spark, sf_dir).repartition("block").sortWithinPartitions("block", "attempt")
+    ordered = _by_block(_progress_lines(spark, sf_dir), "attempt")
     out = agentic.read_progress_log(spark, _write_lines(ordered, "progress", "block"))
     return out.select(
         F.regexp_extract("file", "block=([0-9]+)", 1).cast("int").alias("block"),

@@ -380,3 +380,13 @@ def test_models_of_one_size_fit_alike(spark):
     got = {r.m: (r.n_hosts, r.smallest_fit_gb, r.fits) for r in comparison.fits_memory(models, hosts, "need", "usable").collect()}
     assert len(got) == 303 and {got[i] for i in range(300)} == {(3, 80.0, True)}
     assert got[301] == (0, None, False) and got[302] == (0, None, False) and got[303] == (4, 24.0, True)
+
+
+def test_running_gives_a_task_no_more_rows_as_tables_grow(spark, monkeypatch):
+    from tallywright.operators import running as module
+
+    monkeypatch.setattr(module, "TASK_ROWS", 50)
+    frame = spark.range(2000).select((F.col("id") % 40).alias("k"), F.col("id").alias("at"))
+    out = module.running(frame, ["k"], ["at"], F.lit(0), sums={"n": F.lit(1).cast("bigint")})
+    assert out.rdd.getNumPartitions() >= 40  # all were one task, merged by their few bytes
+    assert sorted(r["n"] for r in out.collect()) == sorted([*range(1, 51)] * 40)
