@@ -215,3 +215,20 @@ def test_logs_read_in_many_splits_keep_their_order(spark, fixtures):
         assert read() == whole
     finally:
         spark.conf.set(setting, before)
+
+
+def test_agent_log_is_read_in_tasks_by_rows(spark, tmp_path, monkeypatch):
+    from tallywright.operators import running as module
+
+    monkeypatch.setattr(module, "TASK_ROWS", 20)
+    for k in range(60):
+        lines = ["==== tag (org/m) START Sat Aug  1 2026 ====", "note", f"P{k}: PASS in 3", f"P{k}: round 2 -> 5.5 GB/s", f"P{k}: cand_7 verdict=ok score=2"]
+        (tmp_path / f"log{k}.txt").write_text("\n".join(lines))
+    log = agentic.read_agent_log(spark, str(tmp_path))
+    assert log.rdd.getNumPartitions() >= 15
+    got = rows(log.where("problem = 9"), "event", "round", "candidate", "score", "unit", "verdict", "model")
+    assert got == [
+        ("candidate", None, 7, 2.0, None, "OK", "org/m"), ("pass", 3, None, None, None, None, "org/m"),
+        ("round", 2, None, 5.5, "GB/s", None, "org/m"),
+    ]
+    assert log.count() == 180
