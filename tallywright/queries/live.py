@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallywright.operators.running import time_chunk
 from tallywright.queries.bindings import table, views
-from tallywright.queries.records import _progress_lines, _write_lines
+from tallywright.queries.records import _by_block, _progress_lines, _write_lines
 from tallywright.queries.registry import register, rounded
 from tallywright.streaming import health, metrics, verdicts
 from tallywright.streaming.run import drain, latest_rows, read_stream
@@ -131,7 +131,7 @@ SELECT CAST(attempt // 1000 AS INT) AS run, CAST(max(attempt % 1000) AS INT) AS
   max(CAST(status = 'P' AS INT)) AS error, CAST(max(60 + attempt % 60) AS INT) AS elapsed_s
 FROM attempts GROUP BY attempt // 1000""")
 def progress_stream(spark, sf_dir):
-    folder = _write_lines(_progress_lines(spark, sf_dir), "progress", "block")
+    folder = _write_lines(_by_block(_progress_lines(spark, sf_dir), "attempt"), "progress", "block")
     run = F.regexp_extract("file", "block=([0-9]+)", 1).cast("int")
     counters = verdicts.progress_stream(verdicts.progress_source(spark, folder), run)
     return latest_rows(spark, drain(counters, "update"), ["run"])

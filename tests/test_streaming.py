@@ -208,3 +208,21 @@ def test_archive_of_many_files_is_complete(spark, sf, name):
     events.repartition(200, "event_id").write.option("compression", "none").parquet(f"{folder}/events.parquet")
     assert sum(f.startswith("part-") for f in os.listdir(f"{folder.removeprefix('file://')}/events.parquet")) > 128
     assert difference(QUERIES[name](spark, folder), duck(sf), SQL[name]) is None
+
+
+def test_progress_query_reads_one_file_per_run(spark, sf, monkeypatch):
+    from tallywright.queries import live
+
+    folders, write = [], live._write_lines
+    monkeypatch.setattr(live, "_write_lines", lambda *a: folders.append(write(*a)) or folders[-1])
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        runs = live.progress_stream(spark, sf).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = spark.read.option("recursiveFileLookup", "true").text(folders[0]).select("_metadata.file_path").distinct()
+    assert files.count() == runs
