@@ -226,3 +226,12 @@ def test_progress_query_reads_one_file_per_run(spark, sf, monkeypatch):
             spark.conf.set(k, v)
     files = spark.read.option("recursiveFileLookup", "true").text(folders[0]).select("_metadata.file_path").distinct()
     assert files.count() == runs
+
+
+def test_many_small_progress_logs_make_one_batch(spark, tmp_path):
+    for k in range(70):
+        (tmp_path / f"run{k}.log").write_text(f"x | {k}/100 [01:00<50:38, 34.5s/it, ✓=1, ✖=0, error=0]\n")
+    run = F.regexp_extract("file", r"/([^/]+)\.log$", 1)
+    out = drain(verdicts.progress_stream(verdicts.progress_source(spark, str(tmp_path)), run), "update")
+    got = spark.read.parquet(out)
+    assert got.count() == 70 and got.select("batch").distinct().count() == 1
