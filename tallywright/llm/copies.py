@@ -27,9 +27,9 @@ HELD, AT_ONCE = 1 << 20, 1 << 20
 #: 64-bit words of a set's sketch.
 SKETCH = 8
 
-#: All pairs of a shingle are judged when they are at most so many for each entry; all pairs left when a turn
-#: connected fewer than one in USEFUL of them and found fewer alike pairs than one in USEFUL of its entries.
-ALL_PAIRS, USEFUL = 4, 10
+#: All pairs left are judged when those that may be alike are at most so many for each entry, or when a turn of
+#: WIDEST questions a shingle, as wide as the one before, has connected fewer than one in USEFUL of them.
+ALL_PAIRS, WIDEST, USEFUL = 4, 16, 10
 
 _rng = np.random.default_rng(42)
 _LETTER = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -345,8 +345,9 @@ def near_links(
     where its ``most`` is no less than its size: it is *low*. Shingles of few pairs wait for the end. At the others, in
     a turn each text is judged against one low text at each shingle of its prefix, then 1, 4 and 16 others a turn, unless they are connected already; so groups of
     near copies of any size grow together in few turns of a few pairs a text. What is connected follows from one
-    star round a turn, which may miss some of it but claims nothing else. When little is left to connect, or a
-    turn connects little, all pairs are judged that share a shingle, may be alike by size, place and sketch and aren't
+    star round a turn, which may miss some of it but claims nothing else. A turn's questions go to low texts chosen by
+    hash, so those that may be alike say how many of all pairs may be. When these are few, or wide turns connect
+    little, all pairs are judged that share a shingle, may be alike by size, place and sketch and aren't
     known to be connected: no link between unconnected texts is lost.
     """
     spark = texts.sparkSession
@@ -361,7 +362,7 @@ def near_links(
     pool = entries.filter("hot")
     asked = spark.createDataFrame([], "a long, b long")
     links = stars = asked if known is None else known
-    turn, before, slow = 0, None, False
+    turn, before = 0, 0
     while True:
         roots = stars.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
         pool = settle(pool.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "pool")
@@ -370,23 +371,34 @@ def near_links(
         apart = settle(apart.filter("pairs > 0"), "apart")
         size = apart.agg(F.sum("c").alias("c"), F.sum("pairs").alias("pairs")).first()
         left = pool.join(apart.select("gram"), "gram", "left_semi")
-        if (size["pairs"] or 0) <= ALL_PAIRS * (size["c"] or 0) or slow and USEFUL * (before - size["pairs"]) < before:
+        if (size["pairs"] or 0) <= ALL_PAIRS * (size["c"] or 0):
             break
         # Low texts by smallest size, then by as many different hashes as the turn has questions.
-        firsts = [F.struct("n", "node")] if turn == 0 else [
-            F.struct(F.xxhash64("node", "gram", F.lit(turn), F.lit(k)), "node") for k in range(min(4 ** (turn - 1), 16))
-        ]
+        wide = min(4 ** (turn - 1), WIDEST) if turn else 0
+        firsts = [F.struct(F.xxhash64("node", "gram", F.lit(turn), F.lit(k)), "node") for k in range(wide)] or [F.struct("n", "node")]
         one = F.struct("node", "n", "most", "root", "sketch")
-        lead = left.filter("low").groupBy("gram").agg(F.array_distinct(F.array(*[F.min_by(one, f) for f in firsts])).alias("x"))
-        lead = lead.select("gram", F.explode("x").alias("x"))
+        lead = left.filter("low").groupBy("gram").agg(
+            F.array_distinct(F.array(*[F.min_by(one, f) for f in firsts])).alias("x"), F.count(F.lit(1)).alias("l")
+        )
+        lead = lead.select("gram", (F.col("l") / F.size("x")).alias("each"), F.explode("x").alias("x"))
         other = F.struct("node", "n", "most", "root", "sketch", "low").alias("y")
         found = left.select("gram", other).join(settle(lead, "leaders"), "gram")
-        pairs = low_high(found.filter(may_be_alike("x", "y") | F.col("y.low") & may_be_alike("y", "x")))
-        pairs = settle(pairs.join(asked, ["a", "b"], "left_anti"), "pairs")
+        found = found.filter(may_be_alike("x", "y") | F.col("y.low") & may_be_alike("y", "x"))
+        # Each question stands for those to ``each`` low texts, so their sum is what judging all pairs would meet.
+        maybe = settle(
+            found.groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).agg(
+                F.sum(F.when(may_be_alike("x", "y"), F.col("each")).otherwise(0.0)).alias("stands")
+            ),
+            "maybe-alike",
+        )
+        likely = maybe.agg(F.sum("stands")).first()[0] or 0
+        if turn and likely <= ALL_PAIRS * size["c"] or before and USEFUL * (before - likely) < before:
+            break
+        pairs = settle(maybe.select("a", "b").join(asked, ["a", "b"], "left_anti"), "pairs")
         new = settle(judged(pairs, texts), "alike")
         links, asked = links.unionByName(new), asked.unionByName(pairs)
         stars = star_round(stars.unionByName(new))
-        turn, before, slow = turn + 1, size["pairs"], new.count() * USEFUL < size["c"]
+        turn, before = turn + 1, likely if wide == WIDEST else 0
         pool = left.drop("root")
     rest = left.unionByName(entries.filter("not hot").withColumn("root", F.col("node")))
     pairs = low_high(rest.filter("low").alias("x").join(rest.alias("y"), "gram").filter(may_be_alike("x", "y")))

@@ -323,6 +323,19 @@ def test_edits_below_the_similarity_make_few_pairs(spark, monkeypatch):
     assert sum(asked) <= 2 * len(texts)  # 3,160 pairs share shingles, sizes and places
 
 
+def test_groups_grow_past_a_turn_that_connects_nothing(spark, monkeypatch):
+    rng, judged, asked = random.Random(14), copies.judged, []
+    monkeypatch.setattr(copies, "judged", lambda pairs, texts: asked.append(pairs.count()) or judged(pairs, texts))
+    base = prose(rng, 150).split()
+    texts = {1000: " ".join(base[:77]), 1001: " ".join(base[73:])}  # smallest at every shingle, and like no other text
+    for i in range(120):
+        words = list(base)
+        words[rng.randrange(5, 145)] = f"edit{i}"
+        texts[i] = " ".join(words)
+    assert linked(spark, texts) == plain_groups(texts)
+    assert sum(asked) <= 20 * len(texts)  # 7,140 pairs are alike
+
+
 def test_classes_of_fingerprints_are_links_as_well(spark):
     rng = random.Random(13)
     cycle, words = "the copper ferry left harbour " * 30, prose(rng, 150).split()
