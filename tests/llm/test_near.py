@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from tallywright.llm import copies, graph, simhash, suffixes, vectors
 from tallywright.workspace import settle
@@ -190,6 +192,19 @@ def test_removal_equals_brute_force(spark):
     assert sorted((tuple(r) for r in got), key=str) == plain_removal(rows)
 
 
+def test_texts_are_worked_through_together():
+    rng = random.Random(6)
+    texts = [t.encode() for t in ["", "x" * 399, "y" * 400, "z" * 463, *(prose(rng, rng.randint(60, 200)) for _ in range(200))]]
+    long = [t for t in texts if len(t) >= 400]
+    alone = [suffixes.anchors([t])[1:] for t in long]
+    whole = suffixes.anchors(long)
+    assert whole[0].tolist() == [k for k, x in enumerate(alone) for _ in x[0]]
+    assert all(got.tolist() == sum((x[c].tolist() for x in alone), []) for c, got in enumerate(whole[1:]))
+    batch = pa.RecordBatch.from_arrays([pa.array(map(bytes, zip(range(len(texts))))), pa.array(texts, pa.string())], ["key", "text"])
+    frame = SimpleNamespace(select=lambda *_: SimpleNamespace(mapInArrow=lambda run, schema: list(run(iter([batch])))))
+    assert len(suffixes._read(frame)) < len(long) / 20
+
+
 def test_removal_edges(spark):
     rows = [(r[0], r[1] if r[1] is None or len(r[1]) < 5_000 else r[1][:5_000]) for r in edge_rows()]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
